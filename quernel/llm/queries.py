@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import license_scan, mixing
+from quernel.llm import embedding_dedup, license_scan, mixing, vector_search
 from quernel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_top_k": lambda s, d: vector_search.op1_top_k(table(s, d, "embeddings")),
+        "op2_embedding_dedup": lambda s, d: embedding_dedup.op2_embedding_dedup(table(s, d, "embeddings")),
         "op5_license_scan": lambda s, d: license_scan.op5_license_scan(table(s, d, "documents")),
         "op7_mixing": lambda s, d: mixing.op7_mixing(table(s, d, "documents")),
     }
@@ -21,4 +23,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator; the others are tested against brute force in tests/llm."""
-    return {"op5_license_scan": license_scan.oracle()}
+    return {
+        "op1_top_k": vector_search.ORACLE,
+        "op2_embedding_dedup": embedding_dedup.ORACLE,
+        "op5_license_scan": license_scan.oracle(),
+    }
