@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import embedding_dedup, license_scan, mixing, vector_search
+from quernel.llm import embedding_dedup, language_id, license_scan, mixing, vector_search
 from quernel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_top_k": lambda s, d: vector_search.op1_top_k(table(s, d, "embeddings")),
         "op2_embedding_dedup": lambda s, d: embedding_dedup.op2_embedding_dedup(table(s, d, "embeddings")),
+        "op3_language_id": lambda s, d: language_id.op3_language_id(table(s, d, "documents")),
         "op5_license_scan": lambda s, d: license_scan.op5_license_scan(table(s, d, "documents")),
         "op7_mixing": lambda s, d: mixing.op7_mixing(table(s, d, "documents")),
     }
