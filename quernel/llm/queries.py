@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import embedding_dedup, language_id, license_scan, mixing, quality, vector_search
+from quernel.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, vector_search
 from quernel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_license_scan": lambda s, d: license_scan.op5_license_scan(table(s, d, "documents")),
         "op7_mixing": lambda s, d: mixing.op7_mixing(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.op9_quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
     }
 
 
