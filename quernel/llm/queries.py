@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, vector_search
+from quernel.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, vector_search, warc
 from quernel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_top_k": lambda s, d: vector_search.op1_top_k(table(s, d, "embeddings")),
         "op2_embedding_dedup": lambda s, d: embedding_dedup.op2_embedding_dedup(table(s, d, "embeddings")),
         "op3_language_id": lambda s, d: language_id.op3_language_id(table(s, d, "documents")),
+        "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
         "op5_license_scan": lambda s, d: license_scan.op5_license_scan(table(s, d, "documents")),
         "op7_mixing": lambda s, d: mixing.op7_mixing(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.op9_quality(table(s, d, "documents"), table(s, d, "labels")),
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k": vector_search.ORACLE,
         "op2_embedding_dedup": embedding_dedup.ORACLE,
+        "op4_warc": warc.ORACLE,
         "op5_license_scan": license_scan.oracle(),
     }
