@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, simhash, vector_search, warc
+from quernel.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, simhash, suffix_dedup, vector_search, warc
 from quernel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": lambda s, d: language_id.op3_language_id(table(s, d, "documents")),
         "op4_warc": lambda s, d: warc.op4_warc(table(s, d, "pages")),
         "op5_license_scan": lambda s, d: license_scan.op5_license_scan(table(s, d, "documents")),
+        "op6_suffix_dedup": lambda s, d: suffix_dedup.op6_suffix_dedup(table(s, d, "documents")),
         "op7_mixing": lambda s, d: mixing.op7_mixing(table(s, d, "documents")),
         "op8_simhash": lambda s, d: simhash.op8_simhash(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.op9_quality(table(s, d, "documents"), table(s, d, "labels")),
