@@ -37,7 +37,10 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_ITEMS = 4096
 CUT = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+# Byte-level vocabularies write a byte that has no visible character as the next free one from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -50,6 +53,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older, self.limit = Tokenizer.from_file(path), {}, {}, cache_words // 2
+        self.four = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.signs = {s: np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes() for s in ".,!"}
 
     @staticmethod
@@ -76,39 +80,35 @@ class WordTokenizer:
 
     def _ids(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that the younger generation lacks."""
-        out, plain, known, older = {}, {}, self.known, self.older
+        out, rest, known, older, signs = {}, {}, self.known, self.older, self.signs
+        tokenize, four = self.tokenizer.model.tokenize, self.four
         for word in words:
-            if (ids := older.get(word)) is not None:
-                out[word] = ids
-                continue
-            base, end = word, b""
-            if word.isascii() or max(word) < "\u0100":
-                base = word.lower()  # as the tokenizer does; these letters have no context
-                if len(base) > 1 and base[-1] in ".,!" and base[-2].isalpha():
-                    base, end = base[:-1], self.signs[base[-1]]  # letters and signs never share a token
-            if (ids := known.get(base) or older.get(base)) is not None:
-                out[word] = ids + end
-            else:
-                plain[word] = (base, end)
-        fresh = {base for base, _ in plain.values()}
-        # Words of letters only are one pre-token each, so many can go as one text.
-        simple = [b for b in fresh if b.isalpha() and max(b) < "\u0100"]
-        for at in range(0, len(simple), 4096):
-            part = simple[at : at + 4096]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            cuts = [*np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])).tolist(), len(ids)]
-            if len(cuts) != len(part) + 1:
-                raise AssertionError("a word of letters is not one pre-token")
-            data = ids.tobytes()
-            out.update({word: data[4 * a : 4 * b] for word, a, b in zip(part, cuts, cuts[1:], strict=False)})
-        others = list(fresh.difference(simple))
-        for at in range(0, len(others), 4096):
-            part = others[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[word] = np.array(got.ids, dtype="<u4").tobytes()
-        for word, (base, end) in plain.items():
-            out[word] = out[base] + end if end else out[base]
+            ids = older.get(word)
+            if ids is None:
+                if not word.isascii() and max(word) >= "\u0100":
+                    rest[word] = (word, b"")
+                    continue
+                # lower-cased as the tokenizer does; these letters have no context
+                base, end = word.lower(), b""
+                if base[-1:] in signs and base[-2:-1].isalpha():
+                    base, end = base[:-1], signs[base[-1]]  # letters and signs never share a token
+                ids = known.get(base) or older.get(base) or out.get(base)
+                if ids is None:
+                    if not base.isalpha():
+                        rest[word] = (base, end)
+                        continue
+                    # a word of letters is one pre-token, which the model takes in its byte alphabet
+                    ids = b"".join([four[t.id] for t in tokenize(base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_ALPHABET))])
+                    out[base] = ids
+                ids += end
+            out[word] = ids
+        fresh = list({base for base, _ in rest.values()})
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            for base, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[base] = np.array(got.ids, dtype="<u4").tobytes()
+        for word, (base, end) in rest.items():
+            out[word] = out[base] + end
         return out
 
 
