@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from operator import itemgetter
@@ -38,12 +39,59 @@ END_ID = 2
 GROUP_ITEMS = 4096
 CUT = 1024
 CACHE_WORDS = 1_200_000
+#: Fixed value: how the tokenizer cuts a word before its merges, for lower-case ASCII.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+").findall
 # Byte-level vocabularies write a byte that has no visible character as the next free one from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+class _Words(dict):
+    """Ids of words; a word that is missing is worked out and kept."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.older = tokenizer, {}
+        self.model, self.four = tokenizer.model.tokenize, [int(i).to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = dict.get(self.older, word)
+        if ids is None:
+            if word.isascii() or max(word) < "\u0100":
+                # lower-cased as the tokenizer does; these letters have no context
+                base = word.lower()
+                if base != word and (base in self or base in self.older):
+                    ids = self[base]
+                elif base.isalpha():
+                    ids = self._letters(base)
+                elif base[-1:] in ".,!" and base[:-1].isalpha():
+                    ids = self._letters(base[:-1]) + self._letters(base[-1])
+                elif base.isascii() and base.isprintable() and "<|" not in base:
+                    # letters, digits and signs never share a token
+                    ids = b"".join([self._letters(part) if part != base else self._one(part) for part in _PARTS(base)])
+                else:
+                    ids = self._whole(word)
+            else:
+                ids = self._whole(word)
+        self[word] = ids
+        return ids
+
+    def _letters(self, part: str) -> bytes:
+        """Ids of one pre-token, kept for the words it stands in."""
+        ids = self.get(part) or self.older.get(part)
+        if ids is None:
+            ids = self[part] = self._one(part)
+        return ids
+
+    def _one(self, part: str) -> bytes:
+        """Ids of one pre-token, which the model takes in its byte alphabet."""
+        four = self.four
+        return b"".join([four[t.id] for t in self.model(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_ALPHABET))])
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, with a bounded memory of words in two generations: when the younger
     is full it becomes the older, so words in use stay and rare ones go."""
@@ -52,9 +100,8 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older, self.limit = Tokenizer.from_file(path), {}, {}, cache_words // 2
-        self.four = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.signs = {s: np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes() for s in ".,!"}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words // 2
+        self.known = _Words(self.tokenizer)
 
     @staticmethod
     def of(path: str) -> WordTokenizer:
@@ -62,54 +109,13 @@ class WordTokenizer:
             _TOKENIZERS[path] = WordTokenizer(path)
         return _TOKENIZERS[path]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, by a batch."""
-        spaced = [(t or "").replace("\n", " ") for t in texts]
-        ends = np.cumsum([t.count(" ") + 1 for t in spaced]).tolist()
-        words = " ".join(spaced).split(" ")
-        found = list(map(self.known.get, words))
-        missing = [i for i, f in enumerate(found) if f is None] if None in found else []
-        if missing:
-            ids = self._ids({words[i] for i in missing})
-            for i in missing:
-                found[i] = ids[words[i]]
-            self.known.update(ids)
-            if len(self.known) > self.limit:
-                self.known, self.older = {}, self.known
-        return [np.frombuffer(b"".join(found[a:b]), dtype="<u4") for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _ids(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that the younger generation lacks."""
-        out, rest, known, older, signs = {}, {}, self.known, self.older, self.signs
-        tokenize, four = self.tokenizer.model.tokenize, self.four
-        for word in words:
-            ids = older.get(word)
-            if ids is None:
-                if not word.isascii() and max(word) >= "\u0100":
-                    rest[word] = (word, b"")
-                    continue
-                # lower-cased as the tokenizer does; these letters have no context
-                base, end = word.lower(), b""
-                if base[-1:] in signs and base[-2:-1].isalpha():
-                    base, end = base[:-1], signs[base[-1]]  # letters and signs never share a token
-                ids = known.get(base) or older.get(base) or out.get(base)
-                if ids is None:
-                    if not base.isalpha():
-                        rest[word] = (base, end)
-                        continue
-                    # a word of letters is one pre-token, which the model takes in its byte alphabet
-                    ids = b"".join([four[t.id] for t in tokenize(base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_ALPHABET))])
-                    out[base] = ids
-                ids += end
-            out[word] = ids
-        fresh = list({base for base, _ in rest.values()})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for base, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[base] = np.array(got.ids, dtype="<u4").tobytes()
-        for word, (base, end) in rest.items():
-            out[word] = out[base] + end
-        return out
+    def encode(self, text: str | None) -> np.ndarray:
+        known = self.known
+        if len(known) > self.limit:
+            self.known = _Words(self.tokenizer)
+            self.known.older, known.older = known, {}
+            known = self.known
+        return np.frombuffer(b"".join(map(known.__getitem__, (text or "").replace("\n", " ").split(" "))), dtype="<u4")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -218,13 +224,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
         for batch in batches:
             id_type = batch.schema.types[0]
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
-                    held.append((doc_id, np.concatenate([ids, end])))
-                    waiting += 1 + len(ids) // cut
-                    if waiting >= group_items:
-                        yield emit()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = coder.encode(text.as_py())
+                held.append((doc_id, np.concatenate([ids, end])))
+                waiting += 1 + len(ids) // cut
+                if waiting >= group_items:
+                    yield emit()
         if held:
             yield emit()
 
