@@ -87,14 +87,18 @@ class Model:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = FEATURE_BITS) -> Model | None:
     """Learn from text and lang of rows that are not held out; None if there are none."""
     keep = lambda df: df.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    languages = sorted(r["lang"] for r in keep(docs).select("lang").groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_rows).collect())
-    if not languages:
+    counts = {r["lang"]: r["count"] for r in keep(docs.select("doc_id", "lang")).groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_rows).collect()}
+    if not counts:
         return None
-    each = max(1, sample_rows // len(languages))
-    # Ids first, then their texts; each task passes on no more than ``each`` rows of a language.
+    each = max(1, sample_rows // len(counts))
+    # About twice as many of each language as are wanted, by the key; the first of them are the sample.
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, (2 * each + 64) / n)) for k, n in counts.items()], "__lang string, __share double")
+    # Ids first, then their texts.
     key = F.xxhash64(F.lit(SEED), "doc_id")
     first = Window.partitionBy("lang").orderBy("__key", F.col("doc_id").asc_nulls_last())
-    ids = keep(docs.select("doc_id", "lang")).withColumn("__key", key).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= each).select(F.col("doc_id").alias("__id")).distinct()
+    drawn = F.pmod(F.col("__key"), F.lit(1 << 30)) < F.col("__share") * (1 << 30)
+    near = keep(docs.select("doc_id", "lang")).withColumn("__key", key).join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(drawn)
+    ids = near.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= each).select(F.col("doc_id").alias("__id")).distinct()
     rows = keep(docs.select("doc_id", "lang", "text")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "lang")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +124,16 @@ def language_id(docs: DataFrame, model: Model | None, text: str = "text", carry:
     """docs (or the columns of it in carry) with lang_pred, lang_score and lang_ambiguous."""
     added = ["lang_pred", "lang_score", "lang_ambiguous"]
     names = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    # the text crosses to Python once
+    columns = [*names, *([] if text in names else [text])]
+    at_text = columns.index(text)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "lang_pred string", "lang_score double", "lang_ambiguous boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                profiles = [features(t.as_py()) if model else None for t in part.column(len(names))]
+                profiles = [features(t.as_py()) if model else None for t in part.column(at_text)]
                 pred, score, unsure = [UNDETERMINED] * len(profiles), np.zeros(len(profiles)), np.zeros(len(profiles), dtype=bool)
                 known = [i for i, p in enumerate(profiles) if p is not None]
                 if known:
@@ -136,7 +143,7 @@ def language_id(docs: DataFrame, model: Model | None, text: str = "text", carry:
                         pred[i] = model.languages[b]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=[*names, *added])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def op3_language_id(docs: DataFrame) -> DataFrame:
