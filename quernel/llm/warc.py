@@ -224,9 +224,9 @@ def read_archives(spark: SparkSession, archives: DataFrame, chunk_bytes: int = C
                     if rows:
                         yield batch(rows)
 
-    # each archive is a task's whole work
+    # Names are small, so their number, not their bytes, must decide how many tasks read.
     listed = archives.select("archive").distinct()
-    return listed.repartition(F.col("archive")).mapInArrow(run, CHUNKS)
+    return listed.repartition(max(1, listed.count()), "archive").mapInArrow(run, CHUNKS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, compress: bool = True, **options) -> DataFrame:
