@@ -59,8 +59,9 @@ EQUIVALENT = {
 # Typographic signs and what they become.
 SIGNS_FROM, SIGNS_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’“”‐‑‒–— ", "abcdefghijklmnopqrstuvwxyz''\"\"----- "
 
-#: A line that states a copyright: its words come first, perhaps behind a comment sign.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|\x{a9}|all rights reserved)[^\n]*"
+#: A line that states a copyright: the word or the sign comes first, perhaps behind a comment sign, then a sign,
+#: a year or "by"; a line of a licence's own words may begin with "copyright notice" or "copyright holders".
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t:]*(\(c\)|\x{a9}|[0-9]|by )|\(c\)|\x{a9}|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 

@@ -1,0 +1,72 @@
+import numpy as np
+
+from quernel.llm.components import Forest, components
+from quernel.llm.embedding_dedup import near_vectors, op2_embedding_dedup
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, threshold=0.98):
+    good = [(i, np.array(v, dtype=np.float32).astype(float), label) for i, v, label in rows if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = {i: 0 for i, *_ in rows}
+    forest = Forest()
+    for x, (i, a, la) in enumerate(good):
+        for y, (j, b, lb) in enumerate(good):
+            if x != y and la == lb and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= threshold:
+                links[i] += 1
+                forest.join(i, j)
+    return sorted((i, links[i], forest.root(i), forest.root(i) == i) for i, *_ in rows)
+
+
+def rows_with_groups(seed=2, n=300):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(12, 6))
+    rows = []
+    for i in range(n):
+        v = base[i % 12] + rng.normal(scale=0.12, size=6) if i % 3 else rng.normal(size=6)
+        if i % 5 == 0:
+            v = base[0] + rng.normal(scale=0.01, size=6)  # a dense group
+        rows.append((i, [float(np.float32(x)) for x in v], int(i % 7 == 0)))
+    return rows
+
+
+def collected(df):
+    return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect())
+
+
+def test_against_brute_force_in_cells_and_chunks(spark):
+    rows = rows_with_groups()
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows)
+    assert sum(w[1] for w in want) > 1000
+    assert collected(op2_embedding_dedup(df)) == want
+    # many pivots, small chunks
+    assert collected(near_vectors(df, cell_rows=16, chunk_rows=8)) == want
+    assert collected(near_vectors(df, cell_rows=40, max_pivots=3, chunk_rows=1000)) == want
+
+
+def test_odd_rows(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 0), (2, v, 0), (3, v, None), (4, None, 0), (5, [], 0), (6, [0.0] * 3, 0), (7, [None, 1.0, 2.0], 0), (8, [float("nan")] * 3, 0), (9, [2.0, 4.0, 6.0], 0), (10, v, 1), (11, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert collected(op2_embedding_dedup(df)) == brute(rows)
+    assert op2_embedding_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+    unnamed = spark.createDataFrame([(None, v, 0), (1, v, 0)], SCHEMA)
+    assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in op2_embedding_dedup(unnamed).collect()) == [(-1, 0, False), (1, 0, True)]
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rng = np.random.default_rng(0)
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(1000, i) for i in range(1001, 1200)]
+    ids = rng.permutation(400) + 5000
+    random = [(int(ids[a]), int(ids[b])) for a, b in rng.integers(0, 400, size=(300, 2))]
+    edges = [*chain, *star, *random, (7000, 7000), (None, 3), (-5, 40)]
+    forest = Forest()
+    for a, b in edges:
+        if a is not None:
+            forest.join(a, b)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    assert got == {x: forest.root(x) for x in linked}
+    assert components(spark.createDataFrame([], "x long, y long")).collect() == []

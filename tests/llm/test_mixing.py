@@ -1,0 +1,100 @@
+import re
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quernel.llm.mixing import apportion, mixed_documents, op7_mixing, plan, source_targets
+from tests.llm.fixtures import DOCS, documents
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    """The contract's own loop: reshare what capped sources leave until none is above."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_names, out = Fraction(sum(sizes.values())), list(names), {}
+    while open_names:
+        total = sum(weight[s] for s in open_names)
+        share = {s: left * weight[s] / total for s in open_names}
+        over = [s for s in open_names if share[s] > most * sizes[s]]
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = Fraction(most * sizes[s])
+            left -= out[s]
+            open_names.remove(s)
+    return out
+
+
+def highest_quotients(weights, seats):
+    given_ = [0] * len(weights)
+    for _ in range(seats):
+        best = max(range(len(weights)), key=lambda i: (Fraction(weights[i], 2 * given_[i] + 1), -i))
+        given_[best] += 1
+    return given_
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
+def test_targets_against_the_loop(spark, sizes):
+    named = {f"s{i}" if i else None: n for i, n in enumerate(sizes)}
+    got = {r["__source"]: r["__target"] for r in source_targets(spark.createDataFrame(list(named.items()), "__source string, __source_size long")).collect()}
+    want = brute_targets(named)
+    assert got.keys() == want.keys()
+    assert all(got[s] == pytest.approx(float(want[s]), abs=1e-6) for s in want)
+
+
+@pytest.mark.parametrize("weights, seats", [([53, 24, 23], 7), ([1, 1, 1, 1], 2), ([1000, 1, 1, 1, 1, 1, 1], 13), ([5, 0, 3], 4), ([7], 9), ([3, 3, 2], 0), ([997, 13, 11, 9, 7, 5, 3, 2, 1, 1, 1, 1], 29)])
+def test_apportionment_against_highest_quotients(spark, weights, seats):
+    items = spark.createDataFrame([(i, w, seats) for i, w in enumerate(weights)], "item int, w long, seats long")
+    got = {r["item"]: r["out"] for r in apportion(items, [], "w", "seats", "out").collect()}
+    assert [got[i] for i in range(len(weights))] == highest_quotients(weights, seats)
+
+
+def test_mix_of_documents(spark):
+    rows = documents(150)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = op7_mixing(df).collect()
+    assert len(got) == len(rows)
+    size = Counter()
+    for _, t, _, source, _ in rows:
+        size[source] += len(WORD.findall(t or ""))
+    want = brute_targets(size)
+    expected = Counter((i, len(WORD.findall(t or "")), size[s], round(float(want[s]), 3)) for i, t, _, s, _ in rows)
+    assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 3)) for r in got) == expected
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    taken = defaultdict(int)
+    for r in got:
+        taken[round(r.target, 6), r.source_size] += r.taken
+    for (target, _), words in taken.items():
+        assert abs(words - target) <= 64 + 0.01 * target
+    assert sorted(map(tuple, op7_mixing(df.repartition(5)).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_texts_of_the_mix(spark):
+    df = spark.createDataFrame(documents(100), DOCS)
+    words = {}
+    for r in plan(df, block_words=8, carry=True).collect():
+        words.setdefault((r.doc_id, r.text), Counter())["taken"] += r["__taken"]
+    mixed = mixed_documents(df, block_words=8)
+    assert mixed.columns == df.columns
+    got = Counter()
+    for r in mixed.collect():
+        got[r.doc_id] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    want = Counter()
+    for (i, _), c in words.items():
+        want[i] += c["taken"]
+    assert +got == +want
+
+
+def test_empty_and_clashing(spark):
+    assert op7_mixing(spark.createDataFrame([], DOCS)).collect() == []
+    nothing = spark.createDataFrame([(1, None, "en", None, 0), (2, " \t ", "en", "a", 0)], DOCS)
+    assert sorted(tuple(r) for r in op7_mixing(nothing).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    extra = spark.createDataFrame([(1, "a b c", "s", 5, 6.0)], "doc_id long, text string, source string, size int, target double")
+    assert tuple(op7_mixing(extra).first()) == (1, 3, 3, 3.0, op7_mixing(extra).first().taken)
