@@ -83,7 +83,12 @@ def apportion(items: DataFrame, group: list[str], weight: str, seats: str, out:
         ),
     )
     step = step.where((F.col("__short") > 0) | (F.col("__step") <= F.col("__seats0")))
-    by = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.col("__quotient").desc(), *[F.col(k).asc_nulls_last() for k in keys])
+    by = Window.partitionBy(*(group or [F.lit(0)])).orderBy(
+        F.col("__quotient").desc(),
+        # of equal quotients the first item has the seat, so the last gives one up
+        *[F.when(F.col("__short") > 0, F.col(k)).asc_nulls_last() for k in keys],
+        *[F.when(F.col("__short") < 0, F.col(k)).desc_nulls_first() for k in keys],
+    )
     changed = step.withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= F.abs("__short"))
     moved = changed.groupBy(*keys).agg(F.sum(F.signum("__short")).cast("long").alias("__moved"))
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
