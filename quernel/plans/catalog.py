@@ -483,10 +483,10 @@ def update_div_zero(spark, d):
     return table.snapshot()
 
 
-@query("SELECT p_partkey, p_name, p_size FROM part WHERE NOT (p_size < 10 OR p_name LIKE '%5')")
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE NOT (p_size < 10 OR p_name LIKE '%gear')")
 def delete_where(spark, d):
     engine, table = scratch_table(spark, _parts(spark, d))
-    done(engine, "DELETE FROM t WHERE p_size < 10 OR p_name LIKE '%5'")
+    done(engine, "DELETE FROM t WHERE p_size < 10 OR p_name LIKE '%gear'")
     return table.snapshot()
 
 
