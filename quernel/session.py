@@ -9,6 +9,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch that goes to Python, unless the session says otherwise: long texts must not pile up.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(app: str = "quernel", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,6 +36,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
+    if _BATCH not in dict(context.getConf().getAll()):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="quernel-ship-")
     target = os.path.join(folder, "quernel.zip")
