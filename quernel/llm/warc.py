@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import scratch, written
+from quernel.llm.common import lean, scratch, written
 
 CHUNK_BYTES = 1 << 18
 MIN_REVISIT_BYTES = 100
@@ -147,7 +147,7 @@ def write_archives(chunks: DataFrame, folder: str, compress: bool = True) -> Dat
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
-    return chunks.mapInArrow(run, MANIFEST)
+    return chunks.mapInArrow(lean(run), MANIFEST)
 
 
 class _Plain(io.RawIOBase):
@@ -226,7 +226,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, chunk_bytes: int = C
 
     # Names are small, so their number, not their bytes, must decide how many tasks read.
     listed = archives.select("archive").distinct()
-    return listed.repartition(max(1, listed.count()), "archive").mapInArrow(run, CHUNKS)
+    return listed.repartition(max(1, listed.count())).mapInArrow(lean(run), CHUNKS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, compress: bool = True, **options) -> DataFrame:
