@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import forget, written
+from quernel.llm.common import forget, lean, written
 
 MAX_ROUNDS = 64
 
@@ -74,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     a, b = edges.columns
     links = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    now = written(spark, links.mapInArrow(_thinned, "a long, b long").distinct(), "links")
+    now = written(spark, links.mapInArrow(lean(_thinned), "a long, b long").distinct(), "links")
     digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     mark = digest(now)
     for _ in range(MAX_ROUNDS):

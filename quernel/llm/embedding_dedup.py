@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import written
+from quernel.llm.common import lean, written
 from quernel.llm.components import Forest, components
 from quernel.llm.vectors import by_length
 
@@ -198,7 +198,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: in
     usable = numbered.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
     pivots = _pivots(usable, cell_rows, max_pivots)
     schema = "rid long, vec_id long, label int, cell int, dist double, home boolean, vector array<double>"
-    members = written(spark, usable.withColumn("vector", F.col("vector").cast("array<double>")).mapInArrow(_assigner(pivots, radius), schema), "members")
+    members = written(spark, usable.withColumn("vector", F.col("vector").cast("array<double>")).mapInArrow(lean(_assigner(pivots, radius)), schema), "members")
     core = F.col("dist") <= radius / 2 - SLACK
     cells = members.groupBy("label", "cell").agg(
         F.greatest(F.ceil(F.sum(F.col("home").cast("long")) / chunk_rows), F.lit(1)).cast("int").alias("chunks"),
@@ -211,7 +211,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: in
     homes = placed.where("home").withColumns({"chunk": deal, "kind": F.lit(0)}).select(columns)
     met = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(1)).select(columns)
     rows = homes.unionByName(met).repartition("label", "cell", "chunk").sortWithinPartitions("label", "cell", "chunk", "kind", "dist")
-    found = written(spark, rows.mapInArrow(_joiner(threshold, radius), "kind int, a long, b long"), "found")
+    found = written(spark, rows.mapInArrow(lean(_joiner(threshold, radius)), "kind int, a long, b long"), "found")
     # Members around a pivot are one another's links, all of them.
     inside = placed.where(core).select("rid", "vec_id", "home", "core_rows", "core_id")
     counted = found.where("kind = 0").select(F.col("a").alias("rid"), F.col("b").alias("n")).unionByName(inside.where("home").select("rid", (F.col("core_rows") - 1).alias("n")))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import held_out
+from quernel.llm.common import held_out, lean
 from quernel.llm.ngrams import byte_ngrams
 
 SAMPLE_ROWS = 2400
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = FEATURE_BIT
             found = [(lang, p.astype(np.float32).tobytes()) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (p := features(text, bits)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["lang", "profile"])
 
-    sample = rows.mapInArrow(profiles, "lang string, profile binary").toArrow()
+    sample = rows.mapInArrow(lean(profiles), "lang string, profile binary").toArrow()
     if not sample.num_rows:
         return None
     x = np.frombuffer(b"".join(sample.column("profile").to_pylist()), dtype=np.float32).reshape(-1, 1 << bits).astype(np.float64)
@@ -143,7 +143,7 @@ def language_id(docs: DataFrame, model: Model | None, text: str = "text", carry:
                         pred[i] = model.languages[b]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=[*names, *added])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run), schema)
 
 
 def op3_language_id(docs: DataFrame) -> DataFrame:

@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quernel.llm.common import lean
+
 CAPACITY = 4096
 END_ID = 2
 GROUP_ITEMS = 4096
 CUT = 1024
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Fixed value: how the tokenizer cuts a word before its merges, for lower-case ASCII.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+").findall
 # Byte-level vocabularies write a byte that has no visible character as the next free one from 256 on.
@@ -50,9 +52,9 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 class _Words(dict):
     """Ids of words; a word that is missing is worked out and kept."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, four: list[bytes]):
         self.tokenizer, self.older = tokenizer, {}
-        self.model, self.four = tokenizer.model.tokenize, [int(i).to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.model, self.four = tokenizer.model.tokenize, four
 
     def __missing__(self, word: str) -> bytes:
         ids = dict.get(self.older, word)
@@ -101,7 +103,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words // 2
-        self.known = _Words(self.tokenizer)
+        self.four = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known = _Words(self.tokenizer, self.four)
 
     @staticmethod
     def of(path: str) -> WordTokenizer:
@@ -109,10 +112,14 @@ class WordTokenizer:
             _TOKENIZERS[path] = WordTokenizer(path)
         return _TOKENIZERS[path]
 
+    def forget(self) -> None:
+        """Give the memory back; a worker may do other work next."""
+        self.known = _Words(self.tokenizer, self.four)
+
     def encode(self, text: str | None) -> np.ndarray:
         known = self.known
         if len(known) > self.limit:
-            self.known = _Words(self.tokenizer)
+            self.known = _Words(self.tokenizer, self.four)
             self.known.older, known.older = known, {}
             known = self.known
         return np.frombuffer(b"".join(map(known.__getitem__, (text or "").replace("\n", " ").split(" "))), dtype="<u4")
@@ -232,8 +239,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     yield emit()
         if held:
             yield emit()
+        coder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def op10_packing(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

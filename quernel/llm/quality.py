@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import held_out
+from quernel.llm.common import held_out, lean
 from quernel.llm.ngrams import word_ngrams
 
 SAMPLE_ROWS = 6000
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("label").cast("int").alias("label"))
     # a bounded number of rows: one task
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", F.xxhash64("text"))
-    found = ordered.mapInArrow(_trainer(bits, epochs), "weights binary").toArrow().column("weights").to_pylist()
+    found = ordered.mapInArrow(lean(_trainer(bits, epochs)), "weights binary").toArrow().column("weights").to_pylist()
     return np.frombuffer(found[0], dtype=np.float32) if found else np.zeros((1 << bits) + 1, dtype=np.float32)
 
 
@@ -104,7 +104,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text", carr
                 scores[i] = float(w[-1]) + (float(w[slots].sum(dtype=np.float64)) * value[0] if len(slots) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], names=[*names, "quality_score"])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

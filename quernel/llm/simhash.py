@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import written
+from quernel.llm.common import lean, written
 from quernel.llm.components import Forest, components
 
 SHINGLE_WORDS = 4
@@ -229,7 +229,7 @@ def _linker(max_bits: int):
 def fingerprints(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """The columns in carry and ``print``, the fingerprint's 64 bits as a long."""
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "print long"])
-    return docs.select(*carry, F.col(text).alias("__text")).mapInArrow(_fingerprints, schema)
+    return docs.select(*carry, F.col(text).alias("__text")).mapInArrow(lean(_fingerprints), schema)
 
 
 def print_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -237,8 +237,8 @@ def print_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > 4:
         raise ValueError("the keys find at most 4 differing bits")
     distinct = prints.select("print").distinct()
-    keyed = distinct.mapInArrow(_key_rows, "key long, print long").repartition("key").sortWithinPartitions("key", "print")
-    return components(keyed.mapInArrow(_linker(max_bits), "a long, b long"))
+    keyed = distinct.mapInArrow(lean(_key_rows), "key long, print long").repartition("key").sortWithinPartitions("key", "print")
+    return components(keyed.mapInArrow(lean(_linker(max_bits)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None, max_bits: int = MAX_BITS) -> DataFrame:

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import written
+from quernel.llm.common import lean, written
 from quernel.llm.suffix_array import common_prefixes, suffix_array
 
 WINDOW = 100
 K = 24
 #: Distances from a minimiser that are compared together.
 SLOT = 26
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Texts are scanned in pieces of about this many bytes; short ones together.
 PIECE = 1 << 19
 SEED = 17
@@ -459,15 +459,15 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, slot: int
     """(doc, packed, length) of ranges that repeat, as written tables; they may overlap."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    scanned = rows.mapInArrow(_scan(window, k), "route long, content long, doc long, packed long")
+    scanned = rows.mapInArrow(lean(_scan(window, k)), "route long, content long, doc long, packed long")
     sorted_rows = scanned.repartition("route").sortWithinPartitions("route", "content", "doc", "packed")
-    found = written(spark, sorted_rows.mapInArrow(_first_of_equal(window), "kind int, doc long, packed long, length long, route long"), "segments")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text").mapInArrow(_texts, "doc long, tag long, z binary")
+    found = written(spark, sorted_rows.mapInArrow(lean(_first_of_equal(window)), "kind int, doc long, packed long, length long, route long"), "segments")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text").mapInArrow(lean(_texts), "doc long, tag long, z binary")
     tag = F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
     wanted = found.where("kind = 1").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("packed", "route")).alias("s"))
     placed = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "z", F.col("s.packed").alias("packed"), F.col("s.route").alias("route"))
-    cut = placed.mapInArrow(_cut(window, k, slot), "route long, content long, doc long, packed long, bytes binary")
-    compared = cut.repartition("route").sortWithinPartitions("route", "content", "doc", "packed").mapInArrow(_shards(window, shard_bytes), "doc long, packed long, length long")
+    cut = placed.mapInArrow(lean(_cut(window, k, slot)), "route long, content long, doc long, packed long, bytes binary")
+    compared = cut.repartition("route").sortWithinPartitions("route", "content", "doc", "packed").mapInArrow(lean(_shards(window, shard_bytes)), "doc long, packed long, length long")
     late = written(spark, compared, "ranges")
     return found.where("kind = 0").select("doc", "packed", "length").unionByName(late)
 
@@ -507,13 +507,13 @@ def remove_repeats(docs: DataFrame, carry: list[str], want_text: bool = False, *
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     types = {c: docs.schema[c].dataType.simpleString() for c in carry}
     declared = [f"`{c}` {t}" for c, t in types.items()]
-    texts = docs.select(*carry, key.alias("__doc"), "text").mapInArrow(_texts, ", ".join([*declared, "`__doc` long", "tag long", "z binary"]))
+    texts = docs.select(*carry, key.alias("__doc"), "text").mapInArrow(lean(_texts), ", ".join([*declared, "`__doc` long", "tag long", "z binary"]))
     tag = F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
     gathered = ranges.groupBy(F.col("doc").alias("__d"), tag.alias("__t")).agg(F.collect_list(F.struct("packed", "length")).alias("s"))
     joined = texts.join(gathered, (F.col("__doc") == F.col("__d")) & (F.col("tag") == F.col("__t")), "left")
     rows = joined.select(*carry, "z", F.col("s.packed").alias("packed"), F.col("s.length").alias("length"))
     added = ["kept_text string", "n_removed long"] if want_text else ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
-    return rows.mapInArrow(_apply(carry, want_text), ", ".join([*declared, *added]))
+    return rows.mapInArrow(lean(_apply(carry, want_text)), ", ".join([*declared, *added]))
 
 
 def op6_suffix_dedup(docs: DataFrame) -> DataFrame:

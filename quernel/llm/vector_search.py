@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.common import lean
+
 from quernel.llm.vectors import by_length
 
 SCALE = 256.0
@@ -141,7 +143,7 @@ def top_k(
     dealt = named(vectors).select(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(groups)).cast("long").alias("group"), F.lit(0).alias("kind"), "id", "vector")
     asked = named(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(1).alias("kind"), "id", "vector")
     rows = dealt.unionByName(asked).repartition("group").sortWithinPartitions("group", "kind", "id")
-    found = rows.mapInArrow(_searcher(k, scale, bits), "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(lean(_searcher(k, scale, bits)), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
