@@ -13,8 +13,9 @@ a tag of the text.  To let any two equal windows meet without one array over the
    core, which joins the minimiser in the piece's key.  Pieces alone under their key are free of repeats, of equal
    pieces all but the first are repeats.  The rest are gathered into shards, a key's pieces in one.  A shard's suffix
    array (induced sorting) with its permuted common prefixes gives runs of suffixes that share WINDOW bytes; all but
-   a run's first occurrence are repeats.  A key with more text than a shard takes (the border of a
-   very common passage) is compared window by window instead, by the hash of the whole window.
+   a run's first occurrence are repeats.  A key with more text than a shard takes is compared window by window instead,
+   by the hash of the whole window; and a minimiser of more than HEAVY contents (the border of a very common
+   passage) goes that way over the whole cluster, so no task holds a group that grows with the corpus.
 4. Repeated ranges meet their texts, which are cut.
 
 Equal segment contents are told by 128 bits of hashes.
@@ -43,6 +44,8 @@ K = 24
 #: Distances from a minimiser that are compared together.
 SLOT = 26
 SHARD_BYTES = 1 << 19
+#: Contents under one minimiser beyond which its windows are compared as a table of their own.
+HEAVY = 50_000
 #: Texts are scanned in pieces of about this many bytes; short ones together.
 PIECE = 1 << 19
 SEED = 17
@@ -217,48 +220,101 @@ def _scan(window: int, k: int):
     return run
 
 
-def _first_of_equal(window: int):
+class _Minimisers:
+    """Segments by minimiser as they stream by: those of one content are dropped, few are passed on as kind 1, and more
+    than ``heavy`` as kind 2.  No more than ``heavy`` rows wait."""
+
+    def __init__(self, heavy: int):
+        self.heavy = heavy
+        self.mini: int | None = None
+        self.held: list[np.ndarray] = []  # rows (doc, packed) of the minimiser that goes on
+        self.waiting = 0
+        self.out: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def add(self, route: np.ndarray, rows: np.ndarray) -> None:
+        """First segments of their content, sorted by minimiser."""
+        if not len(route):
+            return
+        cuts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
+        ends = np.append(cuts[1:], len(route))
+        # minimisers that begin and end here need no waiting
+        if route[0] != self.mini:
+            self.close()
+        elif len(cuts) == 1:
+            return self.wait(rows)
+        else:
+            self.wait(rows[: ends[0]])
+            self.close()
+            cuts, ends = cuts[1:], ends[1:]
+        size = ends - cuts
+        whole = size[:-1]
+        kind = np.repeat(np.where(whole > self.heavy, 2, np.where(whole > 1, 1, 0)), whole)
+        middle = slice(cuts[0], cuts[-1])
+        for k in (1, 2):
+            mine = kind == k
+            if mine.any():
+                self.out.append((k, route[middle][mine], rows[middle][mine]))
+        self.mini = int(route[-1])
+        self.wait(rows[cuts[-1] :])
+
+    def wait(self, rows: np.ndarray) -> None:
+        self.held.append(rows)
+        self.waiting += len(rows)
+        if self.waiting > self.heavy:
+            self.pass_on(2)
+
+    def pass_on(self, kind: int) -> None:
+        rows = np.concatenate(self.held) if self.held else np.empty((0, 2), dtype=np.int64)
+        if len(rows):
+            self.out.append((kind, np.full(len(rows), self.mini, dtype=np.int64), rows))
+        self.held = []
+
+    def close(self) -> None:
+        if self.waiting > 1:
+            self.pass_on(2 if self.waiting > self.heavy else 1)
+        self.mini, self.held, self.waiting = None, [], 0
+
+
+def _first_of_equal(window: int, heavy: int):
     """Rows sorted by (route, content, doc, packed) -> (kind, doc, packed, length, route): kind 0, a range that
-    repeats an earlier one in full; kind 1, a segment to compare with others of its minimiser."""
+    repeats an earlier one in full; kinds 1 and 2, a segment to compare with others of its minimiser, 2 if those are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the row before: its minimiser and content, the place it repeats, and whether that was passed on
-        mini = content = doc = packed = None
-        passed = True
+        minimisers = _Minimisers(heavy)
+        last = None  # minimiser, content, doc and packed of the segment that later rows may repeat
+
+        def ready(ranges: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
+            parts = []
+            if ranges is not None and len(ranges[0]):
+                doc, packed, length = ranges
+                parts.append((np.zeros(len(doc), dtype=np.int32), doc, packed, length, np.zeros(len(doc), dtype=np.int64)))
+            parts += [(np.full(len(r), k, dtype=np.int32), rows[:, 0], rows[:, 1], np.zeros(len(r), dtype=np.int64), r) for k, r, rows in minimisers.out]
+            minimisers.out.clear()
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(5)], names=["kind", "doc", "packed", "length", "route"])
+
         for batch in batches:
-            route, con, ids, pack = (batch.column(i).to_numpy() for i in range(4))
-            gone = pack < 0
-            start, _, tag = _unpack(-1 - pack[gone])
-            out = [(np.zeros(int(gone.sum()), dtype=np.int8), ids[gone], _pack(start, np.zeros_like(start), tag), con[gone] - start, np.zeros(int(gone.sum()), dtype=np.int64))]
-            route, con, ids, pack = route[~gone], con[~gone], ids[~gone], pack[~gone]
-            n = len(route)
-            if n:
-                same_mini = np.concatenate([[mini is not None and route[0] == mini], route[1:] == route[:-1]])
-                same = same_mini & np.concatenate([[content is not None and con[0] == content], con[1:] == con[:-1]])
-                first = ~same
-                # the segment each row repeats
-                lead = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-                lead_doc = np.where(lead >= 0, ids[np.maximum(lead, 0)], doc if doc is not None else 0)
-                lead_pack = np.where(lead >= 0, pack[np.maximum(lead, 0)], packed if packed is not None else 0)
-                twin = same & (ids == lead_doc) & (pack == lead_pack)  # the same row again
-                rest = same & ~twin
-                start, count, tag = _unpack(pack[rest])
-                out.append((np.zeros(len(start), dtype=np.int8), ids[rest], _pack(start, np.zeros_like(start), tag), count + window - 1, np.zeros(len(start), dtype=np.int64)))
-                # a first segment goes on if its minimiser has another content before or after it
-                at = np.flatnonzero(first)
-                before = same_mini[at]
-                after = np.concatenate([before[1:], [False]])  # a following first row of the same minimiser
-                if not passed and len(at) and before[0]:
-                    out.append((np.ones(1, dtype=np.int8), np.array([doc]), np.array([packed]), np.zeros(1, dtype=np.int64), np.array([mini])))
-                    passed = True
-                on = at[before | after]
-                out.append((np.ones(len(on), dtype=np.int8), ids[on], pack[on], np.zeros(len(on), dtype=np.int64), route[on]))
-                if len(at):
-                    doc, packed, passed = ids[at[-1]], pack[at[-1]], bool(before[-1] or after[-1])
-                mini, content = route[-1], con[-1]
-            columns = [np.concatenate([o[i] for o in out]) for i in range(5)]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *[pa.array(c.astype(np.int64)) for c in columns[1:]]], names=["kind", "doc", "packed", "length", "route"])
+            route, content, doc, packed = (batch.column(i).to_numpy() for i in range(4))
+            gone = packed < 0
+            start, _, tag = _unpack(-1 - packed[gone])
+            ranges = [(doc[gone], _pack(start, np.zeros_like(start), tag), content[gone] - start)]
+            rows = np.column_stack([route, content, doc, packed])[~gone]
+            if len(rows):
+                if last is not None:
+                    rows = np.vstack([last, rows])
+                first = np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])
+                lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+                # the same row again repeats nothing
+                rest = rows[~first & np.any(rows[:, 2:] != lead[:, 2:], axis=1)]
+                start, count, tag = _unpack(rest[:, 3])
+                ranges.append((rest[:, 2], _pack(start, np.zeros_like(start), tag), count + window - 1))
+                new = first.copy()
+                new[0] = last is None
+                minimisers.add(rows[new, 0], rows[new, 2:])
+                last = lead[-1]
+            yield from ready(tuple(np.concatenate([r[i] for r in ranges]) for i in range(3)))
+        minimisers.close()
+        yield from ready(None)
 
     return run
 
@@ -351,6 +407,34 @@ def _cut(window: int, k: int, slot: int):
     return run
 
 
+def _cut_windows(window: int):
+    """doc, tag, z, packed (list), route (list) -> (h, g, doc, packed): every window of the segments, by 128 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, _, z, packed, _ in zip(*(batch.column(i) for i in range(5)), strict=True):
+                data = _inflated(z.as_py())
+                start, count, tag = _unpack(packed.values.to_numpy())
+                at = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                hashes = np.frombuffer(b"".join([hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in at.tolist()]), dtype=np.int64).reshape(-1, 2)
+                place = _pack(at, np.zeros_like(at), np.repeat(tag, count))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.full(len(at), doc.as_py(), dtype=np.int64)), pa.array(place)], names=["h", "g", "doc", "packed"])
+
+    return run
+
+
+def _window_ranges(window: int):
+    """(doc, packed) of windows -> ranges, those of a batch merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, _, tag = _unpack(batch.column(1).to_numpy())
+            doc, tag, a, b = merged_ranges(batch.column(0).to_numpy(), tag, start, start + window)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(_pack(a, np.zeros_like(a), tag)), pa.array(b - a)], names=["doc", "packed", "length"])
+
+    return run
+
+
 def _later(groups: np.ndarray, doc: np.ndarray, start: np.ndarray, tag: np.ndarray) -> np.ndarray:
     """Which occurrences are not their group's first."""
     order = np.lexsort((tag, start, doc, groups))
@@ -455,21 +539,36 @@ def _shards(window: int, shard_bytes: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, slot: int = SLOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+RANGES = "doc long, packed long, length long"
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, slot: int = SLOT, shard_bytes: int = SHARD_BYTES, heavy: int = HEAVY) -> DataFrame:
     """(doc, packed, length) of ranges that repeat, as written tables; they may overlap."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     scanned = rows.mapInArrow(lean(_scan(window, k)), "route long, content long, doc long, packed long")
     sorted_rows = scanned.repartition("route").sortWithinPartitions("route", "content", "doc", "packed")
-    found = written(spark, sorted_rows.mapInArrow(lean(_first_of_equal(window)), "kind int, doc long, packed long, length long, route long"), "segments")
+    found = written(spark, sorted_rows.mapInArrow(lean(_first_of_equal(window, heavy)), "kind int, doc long, packed long, length long, route long"), "segments")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text").mapInArrow(lean(_texts), "doc long, tag long, z binary")
-    tag = F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-    wanted = found.where("kind = 1").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("packed", "route")).alias("s"))
-    placed = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "z", F.col("s.packed").alias("packed"), F.col("s.route").alias("route"))
-    cut = placed.mapInArrow(lean(_cut(window, k, slot)), "route long, content long, doc long, packed long, bytes binary")
-    compared = cut.repartition("route").sortWithinPartitions("route", "content", "doc", "packed").mapInArrow(lean(_shards(window, shard_bytes)), "doc long, packed long, length long")
-    late = written(spark, compared, "ranges")
-    return found.where("kind = 0").select("doc", "packed", "length").unionByName(late)
+
+    def placed(kind: int) -> DataFrame:
+        """Texts with the segments of a kind that lie in them."""
+        tag = F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
+        wanted = found.where(F.col("kind") == kind).groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("packed", "route")).alias("s"))
+        return texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "z", F.col("s.packed").alias("packed"), F.col("s.route").alias("route"))
+
+    cut = placed(1).mapInArrow(lean(_cut(window, k, slot)), "route long, content long, doc long, packed long, bytes binary")
+    compared = cut.repartition("route").sortWithinPartitions("route", "content", "doc", "packed").mapInArrow(lean(_shards(window, shard_bytes)), RANGES)
+    out = found.where("kind = 0").select("doc", "packed", "length").unionByName(written(spark, compared, "ranges"))
+    if found.where("kind = 2").isEmpty():
+        return out
+    # Windows of very common minimisers: first occurrences are aggregated before they are shuffled, and joined back
+    # as a table of their own, so that a hot window is a skewed join, which Spark splits.
+    windows = written(spark, placed(2).mapInArrow(lean(_cut_windows(window)), "h long, g long, doc long, packed long"), "windows")
+    first = windows.groupBy(F.col("h").alias("__h"), F.col("g").alias("__g")).agg(F.min(F.struct("doc", "packed")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = written(spark, first, "firsts")
+    late = windows.join(firsts, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).where(F.struct("doc", "packed") != F.col("first"))
+    return out.unionByName(written(spark, late.select("doc", "packed").mapInArrow(lean(_window_ranges(window)), RANGES), "heavy"))
 
 
 def _apply(names: list[str], want_text: bool):

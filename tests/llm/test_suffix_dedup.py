@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quernel.llm import suffix_array as sa
-from quernel.llm.suffix_dedup import brute_force, op6_suffix_dedup, remove_repeats, repeated_by_window, repeated_windows, segments, without_repeats
+from quernel.llm.suffix_dedup import _Minimisers, brute_force, op6_suffix_dedup, remove_repeats, repeated_by_window, repeated_windows, segments, without_repeats
 from tests.llm.fixtures import DOCS, documents
 
 
@@ -82,13 +82,39 @@ def test_documents_against_brute_force(spark):
     assert sum(w[2] for w in want) > 4000
     check(spark, rows, shard_bytes=300)  # large keys go window by window
     check(spark, rows, k=40, slot=7)
+    check(spark, rows, heavy=1)  # every minimiser by the table of windows
+    check(spark, rows, heavy=3)
 
 
 def test_periodic_and_shifted_texts(spark):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh é") for _ in range(150))
     texts = ["a" * 700, "ab" * 300, passage, "x" + passage, passage[1:101], passage[:99], "é" * 60 + passage[20:140] + "é" * 60, passage + passage, "abc " * 200, "", None, "q" * 99, "q" * 100, "q" * 101]
-    check(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    check(spark, rows)
+    check(spark, rows, heavy=2)
+
+
+def test_minimisers_stream_in_any_batches():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 8, 40)
+    route = np.repeat(np.arange(40) * 3 - 50, sizes)
+    rows = np.column_stack([np.arange(len(route)), np.arange(len(route)) * 2])
+    want = {0: set(), 1: set(), 2: set()}
+    at = 0
+    for size in sizes.tolist():
+        want[0 if size == 1 else 1 if size <= 4 else 2] |= set(range(at, at + size))
+        at += size
+    for step in (1, 2, 3, 7, 50, 1000):
+        held = _Minimisers(4)
+        for i in range(0, len(route), step):
+            held.add(route[i : i + step], rows[i : i + step])
+        held.close()
+        got = {1: [], 2: []}
+        for kind, r, part in held.out:
+            got[kind] += part[:, 0].tolist()
+            assert (route[part[:, 0]] == r).all()
+        assert sorted(got[1]) == sorted(want[1]) and sorted(got[2]) == sorted(want[2])
 
 
 def test_repeated_ids_nulls_and_empty_table(spark):
