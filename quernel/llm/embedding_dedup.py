@@ -36,9 +36,9 @@ from quernel.llm.vectors import by_length
 
 THRESHOLD = 0.98
 CELL_ROWS = 4096
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 4096
 SAMPLE_PER_PIVOT = 8
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 4096
 SEED = 11
 #: Distances and cosines closer than this to a bound are computed again or count as not decided.
 SLACK = 1e-9
