@@ -1,9 +1,9 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Each half-round gives every vertex the least vertex of its neighbourhood and hangs the neighbours
-there.  Minima are aggregated map-side and joined back, so a vertex with very many links is split
-like any skewed join; rounds grow with the logarithm of the diameter.  Every round is a written
-table in the shared folder.
+there.  Minima are aggregated map-side and joined back, those of vertices with very many links by
+broadcast; rounds grow with the logarithm of the diameter.  Every round is a written table in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quernel.llm.common import forget, lean, written
 
 MAX_ROUNDS = 64
+#: A vertex is hot beyond MIN_HOT links and one in MAX_HOT of all.
+MIN_HOT, MAX_HOT = 100, 5000
 
 
 class Forest:
@@ -54,17 +56,30 @@ def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(below), pa.array(roots)], names=["a", "b"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _with_least(edges: DataFrame, end: str, least: DataFrame, count: int) -> DataFrame:
+    """edges with ``m``, the least vertex (k, m, n) around their vertex at one end.
+
+    A vertex with more than ``hot`` of the links is looked up in a broadcast table, which those bounds keep to
+    2 * MAX_HOT rows; the others are few enough for a task each.
+    """
+    hot = max(MIN_HOT, count // MAX_HOT)
+    known = F.broadcast(least.where(F.col("n") > hot).select(F.col("k").alias("hk"), F.col("m").alias("hm")))
+    looked = edges.join(known, F.col(end) == F.col("hk"), "left")
+    found = looked.where("hk IS NOT NULL").select("a", "b", F.col("hm").alias("m"))
+    rest = looked.where("hk IS NULL").select("a", "b").join(least.where(F.col("n") <= hot), F.col(end) == F.col("k")).select("a", "b", "m")
+    return found.unionByName(rest)
+
+
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
     """edges: a > b.  Large: neighbours above a vertex hang on the least of its neighbourhood; small: those below."""
     if large:
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
         # every edge a > b is seen from b: a hangs on the least neighbour of b
-        moved = edges.join(least, F.col("b") == F.col("k")).select("a", F.col("m").alias("b"))
+        moved = _with_least(edges, "b", least, count).select("a", F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        joined = edges.join(least, F.col("a") == F.col("k"))
-        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("k"), "m", "n")
+        moved = _with_least(edges, "a", least, count).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
     return moved.distinct()
 
 
@@ -80,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        then = written(spark, _star(_star(now, large=True), large=False), "links")
+        then = written(spark, _star(_star(now, True, mark[0]), False, mark[0]), "links")
         forget(spark, now)
         now, before, mark = then, mark, digest(then)
         if mark == before:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quernel.llm.components import Forest, components
 from quernel.llm.embedding_dedup import near_vectors, op2_embedding_dedup
@@ -55,7 +56,9 @@ def test_odd_rows(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in op2_embedding_dedup(unnamed).collect()) == [(-1, 0, False), (1, 0, True)]
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, hot):
+    monkeypatch.setattr("quernel.llm.components.MIN_HOT", hot)
     rng = np.random.default_rng(0)
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, i) for i in range(1001, 1200)]
