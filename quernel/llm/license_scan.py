@@ -2,8 +2,8 @@
 
 A text is normalised (case, copyright lines, typographic signs, equivalent spellings, punctuation and
 white space), hashed with SHA-256 and hash-joined to the digests of known licence texts, which pass
-through the same expression.  The known table is a constant of this module or the caller's own; Spark
-broadcasts it only if its size allows.
+through the same expression.  Digests of a given list of texts are broadcast up to BROADCAST_ROWS; beyond, and for a
+caller's own table, Spark chooses the join by size.
 
 Defined cases: null text gives a null digest and no licence; an empty text, or one of copyright lines
 and punctuation only, has the digest of the empty string and no licence; repeated rows are kept.
@@ -56,6 +56,9 @@ EQUIVALENT = {
     "https://": "http://",
 }
 
+#: Known texts up to which their digests are broadcast: at 100 bytes each, 10 MB.
+BROADCAST_ROWS = 100_000
+
 # Typographic signs and what they become.
 SIGNS_FROM, SIGNS_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’“”‐‑‒–— ", "abcdefghijklmnopqrstuvwxyz''\"\"----- "
 
@@ -80,8 +83,10 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, licenses: dict[str, str] = LICENSES) -> DataFrame:
     """digest, license_id of the known texts; of several with one digest, the first id."""
-    texts = spark.createDataFrame(list(licenses.items()), "license_id string, text string")
-    return texts.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in licenses.items()])
+    texts = spark.range(1).select(F.explode(rows).alias("l")).select("l.*")
+    known = texts.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(known) if len(licenses) <= BROADCAST_ROWS else known
 
 
 def license_scan(docs: DataFrame, known: DataFrame, text: str = "text", out: tuple[str, str] = ("license_digest", "license_id")) -> DataFrame:
