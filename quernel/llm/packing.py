@@ -7,7 +7,7 @@ imbalance are merged with opposing order (largest sum on smallest), until one is
 largest window exceeds the capacity, k rises.
 
 Windows that come out near-equal but a few ids short of capacity are what padding costs; items longer
-than ``cut`` are halved first, because more and smaller items level better.
+than ``cut`` are first cut into equal parts, because more and smaller items level better.
 
 Tokenising dominates.  Words are encoded once and remembered (a bounded cache in each worker): the tokenizer
 never joins anything across a space, so a text's ids are those of its space-separated words in a row.

@@ -627,21 +627,3 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-def brute_force(rows: list[tuple[int, bytes]], window: int = WINDOW) -> list[tuple[int, int, int, int, str]]:
-    """The contract read literally, for tests: rows in order of doc_id."""
-    seen: set[bytes] = set()
-    out = []
-    for doc, data in rows:
-        gone = np.zeros(len(data) + 1, dtype=bool)
-        for i in range(len(data) - window + 1):
-            part = data[i : i + window]
-            if part in seen:
-                gone[i : i + window] = True
-            seen.add(part)
-        gone = gone[: len(data)]
-        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(data) else 0
-        kept = bytes(np.frombuffer(data, dtype=np.uint8)[~gone]) if len(data) else b""
-        out.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return out

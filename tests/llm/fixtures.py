@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+import numpy as np
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 # A few words of each language.
@@ -45,3 +48,21 @@ def documents(count: int = 120, seed: int = 1) -> list[tuple]:
         [7, text(rng, "de", 40), "de", "src9", 0],
     ]
     return [tuple(r[:4]) + (len(r[1]) if r[1] is not None else None,) for r in rows]
+
+
+def brute_repeats(rows: list[tuple[int, bytes]], window: int = 100) -> list[tuple[int, int, int, int, str]]:
+    """doc_id, bytes, removed bytes, runs, digest of the rest: every byte of a window that starts earlier goes; rows in order of doc_id."""
+    seen: set[bytes] = set()
+    out = []
+    for doc, data in rows:
+        gone = np.zeros(len(data) + 1, dtype=bool)
+        for i in range(len(data) - window + 1):
+            part = data[i : i + window]
+            if part in seen:
+                gone[i : i + window] = True
+            seen.add(part)
+        gone = gone[: len(data)]
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(data) else 0
+        kept = bytes(np.frombuffer(data, dtype=np.uint8)[~gone]) if len(data) else b""
+        out.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out

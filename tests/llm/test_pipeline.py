@@ -4,9 +4,8 @@ from collections import Counter
 import corpus_pipeline
 from quernel.llm.common import word_count
 from quernel.llm.mixing import plan
-from quernel.llm.suffix_dedup import brute_force
 from pyspark.sql import functions as F
-from tests.llm.fixtures import DOCS, documents
+from tests.llm.fixtures import DOCS, brute_repeats, documents
 from tests.llm.test_packing import verify
 from tests.llm.test_simhash import brute_components
 
@@ -17,7 +16,7 @@ def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
 
-def test_stages_against_brute_force(spark):
+def test_stages_against_brute_repeats(spark):
     rows = [r for r in documents(300) if r[0] is not None]
     rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
     docs = spark.createDataFrame(rows, DOCS)
@@ -36,7 +35,7 @@ def test_stages_against_brute_force(spark):
     cut = stage("suffix_array_dedup")(spark, one, "")
     cut_rows = {r.doc_id: r for r in cut.collect()}
     seen = {}
-    for doc, size, removed, *_ in brute_force(sorted((r[0], r[1].encode()) for r in one_rows)):
+    for doc, size, removed, *_ in brute_repeats(sorted((r[0], r[1].encode()) for r in one_rows)):
         seen[doc] = size - removed
     assert {d for d, left in seen.items() if left} == set(cut_rows)
     lost = {d: seen[d] - len(r.text.encode()) for d, r in cut_rows.items()}

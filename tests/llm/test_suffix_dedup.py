@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quernel.llm import suffix_array as sa
-from quernel.llm.suffix_dedup import _Minimisers, brute_force, op6_suffix_dedup, remove_repeats, repeated_by_window, repeated_windows, segments, without_repeats
-from tests.llm.fixtures import DOCS, documents
+from quernel.llm.suffix_dedup import _Minimisers, op6_suffix_dedup, remove_repeats, repeated_by_window, repeated_windows, segments, without_repeats
+from tests.llm.fixtures import DOCS, brute_repeats, documents
 
 
 @settings(max_examples=200, deadline=None)
@@ -70,12 +70,12 @@ def test_shard(find):
 def check(spark, rows, **options):
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     got = sorted(tuple(r) for r in remove_repeats(df, ["doc_id"], **options).collect())
-    want = sorted(brute_force(sorted((r[0], (r[1] or "").encode()) for r in rows)))
+    want = sorted(brute_repeats(sorted((r[0], (r[1] or "").encode()) for r in rows)))
     assert got == want
     return want
 
 
-def test_documents_against_brute_force(spark):
+def test_documents_against_brute_repeats(spark):
     rows = [r for r in documents(120) if r[0] is not None]
     rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
     want = check(spark, rows)
