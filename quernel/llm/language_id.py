@@ -36,6 +36,7 @@ RIDGE = 0.03
 SHARPNESS = 4.0
 AMBIGUOUS_MARGIN = 0.05
 UNDETERMINED = "und"
+MIXED_CHARS = 100
 SEED = 5
 _LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 22
@@ -109,15 +110,18 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = FEATURE_BIT
     sample = rows.mapInArrow(lean(profiles), "lang string, profile binary").toArrow()
     if not sample.num_rows:
         return None
-    x = np.frombuffer(b"".join(sample.column("profile").to_pylist()), dtype=np.float32).reshape(-1, 1 << bits).astype(np.float64)
     lang = sample.column("lang").to_pylist()
-    order = np.lexsort((x @ np.arange(1, x.shape[1] + 1), np.array(lang)))  # the same fit however rows arrive
+    x = np.frombuffer(b"".join(sample.column("profile").to_pylist()), dtype=np.float32).reshape(-1, 1 << bits)
+    del sample  # the driver has little room
+    order = np.lexsort((x @ np.arange(1, x.shape[1] + 1, dtype=np.float32), np.array(lang)))  # the same fit however rows arrive
     x, lang = x[order], [lang[i] for i in order]
     languages = sorted(set(lang))
     code = codewords(len(languages))
     y = code[[languages.index(v) for v in lang]]
-    dual = np.linalg.solve(x @ x.T + RIDGE * np.eye(len(x)), y)
-    return Model(languages, code, (x.T @ dual).astype(np.float64))
+    gram = (x @ x.T).astype(np.float64)
+    gram.flat[:: len(gram) + 1] += RIDGE
+    dual = np.linalg.solve(gram, y)
+    return Model(languages, code, (x.T @ dual.astype(np.float32)).astype(np.float64))
 
 
 def language_id(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -152,6 +156,7 @@ def op3_language_id(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
-def rejected(pred: Column, ambiguous: Column) -> Column:
-    """What the pipeline drops: texts without a letter, and those between languages."""
-    return (pred == UNDETERMINED) | ambiguous
+def rejected(pred: Column, ambiguous: Column, text: Column) -> Column:
+    """What the pipeline drops: texts without a letter, and those between languages.  A text of less than MIXED_CHARS
+    may be ambiguous for want of evidence only; it stays."""
+    return (pred == UNDETERMINED) | (ambiguous & (F.length(text) >= MIXED_CHARS))
