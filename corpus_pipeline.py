@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language the rest of them teaches; those without a letter or between languages go."""
     ship(spark)
     found = language_id.language_id(docs, language_id.fit(docs))
-    return found.where(~language_id.rejected(F.col("lang_pred"), F.col("lang_ambiguous"))).select(*docs.columns)
+    return found.where(~language_id.rejected(F.col("lang_pred"), F.col("lang_ambiguous"), F.col("text"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
