@@ -30,8 +30,10 @@ from quernel.llm.vectors import by_length
 
 SCALE = 256.0
 BITS = 6
-GROUP_ROWS = 4096
-QUERY_BLOCK = 256
+#: Rows of a group at most, and at least where there are tasks to spare: queries meet every group, so fewer are better.
+GROUP_ROWS = 32_768
+LEAST_GROUP_ROWS = 1024
+QUERY_BLOCK = 64
 CHUNK = 64
 
 
@@ -139,7 +141,8 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best vectors, exactly."""
     named = lambda df: df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull())
-    groups = max(1, -(-vectors.count() // group_rows))
+    count = vectors.count()
+    groups = max(1, -(-count // group_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, count // LEAST_GROUP_ROWS))
     dealt = named(vectors).select(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(groups)).cast("long").alias("group"), F.lit(0).alias("kind"), "id", "vector")
     asked = named(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(1).alias("kind"), "id", "vector")
     rows = dealt.unionByName(asked).repartition("group").sortWithinPartitions("group", "kind", "id")
