@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +48,17 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows of totals (under 100 bytes each but for a name) that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(totals: DataFrame) -> DataFrame:
+    """totals as a written table, broadcast if it has at most BROADCAST_ROWS rows.  Beyond, both sides of a join are
+    shuffled as they are read, so that Spark can split a hot key."""
+    table = written(totals.sparkSession, totals, "totals")
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete what written() wrote for tables that nothing reads any more."""
     for table in tables:
@@ -56,14 +69,17 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def lean(run):
-    """An Arrow function that gives memory back when its task ends, since workers live on."""
+    """An Arrow function that gives memory back when its task ends, since workers live on beside the JVM."""
 
     @functools.wraps(run)
     def outer(batches):
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
     return outer
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import lean, written
+from quernel.llm.common import lean, small, written
 from quernel.llm.components import Forest, components
 from quernel.llm.vectors import by_length
 
@@ -205,7 +205,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: in
         F.coalesce(F.sum(core.cast("long")), F.lit(0)).alias("core_rows"),
         F.min(F.when(core, F.col("vec_id"))).alias("core_id"),
     )
-    placed = members.join(cells, ["label", "cell"])
+    placed = members.join(small(cells), ["label", "cell"])
     deal = F.pmod(F.xxhash64(F.lit(SEED), "rid"), F.col("chunks")).cast("int")
     columns = ["label", "cell", "chunk", "kind", "rid", "vec_id", "dist", "vector"]
     homes = placed.where("home").withColumns({"chunk": deal, "kind": F.lit(0)}).select(columns)

@@ -20,15 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WORD, word_count, written
+from quernel.llm.common import WORD, small, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 19
 SEED = 20_240_229
-#: Rows of source or shard totals (under 100 bytes each but for the source's name) that may be broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -101,12 +99,6 @@ def apportion(items: DataFrame, group: list[str], weight: str, seats: str, out:
     )
 
 
-def _small(totals: DataFrame) -> DataFrame:
-    """totals as a written table, broadcast if it has at most BROADCAST_ROWS rows; else Spark shuffles both sides."""
-    table = written(totals.sparkSession, totals, "totals")
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _chosen_before(block: Column) -> Column:
     """How many of a shard's extra blocks stand before this one: every (n / extra)th from a seeded start."""
     return F.floor((block * F.col("__extra") + F.col("__start")) / F.greatest(F.col("__blocks"), F.lit(1))).cast("long")
@@ -142,7 +134,7 @@ def plan(
     seats = apportion(targets, [], "__target", "__house", "__quota")
     shard_count = F.greatest(F.ceil(F.col("__source_size") / shard_words), F.lit(1)).cast("long")
     spread = seats.select(F.col("__source").alias("__s"), "__source_size", "__target", "__quota", shard_count.alias("__shards"))
-    placed = rows.join(_small(spread), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+    placed = rows.join(small(spread), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     placed = placed.withColumn("__shard", F.pmod(F.col("__order"), F.col("__shards")))
     shards = placed.groupBy("__source", "__shard", "__source_size", "__quota").agg(F.sum("__size").alias("__shard_size"))
     quotas = apportion(shards.select("__source", "__shard", F.col("__shard_size"), "__quota"), ["__source"], "__shard_size", "__quota", "__given")
@@ -161,7 +153,7 @@ def plan(
     )
     stream = Window.partitionBy("__source", "__shard").orderBy("__order", F.col("doc_id").asc_nulls_last())
     placed = placed.withColumn("__at", F.sum("__size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
-    joined = placed.join(_small(quotas), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h"))).drop("__s", "__h")
+    joined = placed.join(small(quotas), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h"))).drop("__s", "__h")
     extra = _words_before(F.col("__at") + F.col("__size"), block_words) - _words_before(F.col("__at"), block_words)
     return joined.withColumn("__taken", F.col("__passes") * F.col("__size") + extra)
 

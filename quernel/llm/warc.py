@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import lean, scratch, written
+from quernel.llm.common import lean, scratch, small, written
 
 CHUNK_BYTES = 1 << 18
 MIN_REVISIT_BYTES = 100
@@ -67,8 +67,9 @@ def records(pages: DataFrame, id_column: str = "page_id", url: str = "url", payl
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_column).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    # Only digests that several records share are joined back; a hot one is one row on this side.
-    shared = (
+    # Only digests that several records share are joined back, as a table of their own: a hot one is one row there, and a
+    # skewed join of two tables that Spark splits.
+    shared = small(
         rows.where(F.col("payload_bytes") >= min_bytes)
         .groupBy(F.col("payload_digest").alias("__digest"))
         .agg(F.min("record_id").alias("__first"), F.count(F.lit(1)).alias("__n"))
