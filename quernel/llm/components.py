@@ -45,7 +45,7 @@ class Forest:
         return True
 
 
-def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each batch's links, as stars."""
     for batch in batches:
         forest = Forest()
@@ -83,13 +83,13 @@ def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
     return moved.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stars: bool = False) -> DataFrame:
     """id, component (the least id reachable) of every vertex that has a link.  edges: two long columns; loops
-    and repeats are allowed, null ends are not links."""
+    and repeats are allowed, null ends are not links.  stars: the edges went through thinned() already."""
     spark = edges.sparkSession
     a, b = edges.columns
     links = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    now = written(spark, links.mapInArrow(lean(_thinned), "a long, b long").distinct(), "links")
+    now = written(spark, (links if stars else links.mapInArrow(lean(thinned), "a long, b long")).distinct(), "links")
     digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     mark = digest(now)
     for _ in range(MAX_ROUNDS):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.common import lean, written
-from quernel.llm.components import Forest, components
+from quernel.llm.components import Forest, components, thinned
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -238,7 +238,9 @@ def print_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("the keys find at most 4 differing bits")
     distinct = prints.select("print").distinct()
     keyed = distinct.mapInArrow(lean(_key_rows), "key long, print long").repartition("key").sortWithinPartitions("key", "print")
-    return components(keyed.mapInArrow(lean(_linker(max_bits)), "a long, b long"))
+    find = _linker(max_bits)
+    # in one Python worker: a second one beside it would double what a task needs
+    return components(keyed.mapInArrow(lean(lambda batches: thinned(find(batches))), "a long, b long"), stars=True)
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None, max_bits: int = MAX_BITS) -> DataFrame:
@@ -250,7 +252,8 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None, max_bits: i
     linked = print_components(rows, max_bits).select(F.col("id").alias("__id"), F.col("component").alias("__component"))
     grouped = least.join(linked, F.col("print") == F.col("__id"), "left").withColumn("__component", F.coalesce("__component", "print"))
     group_least = grouped.groupBy("__component").agg(F.min("least").alias("component_id"))
-    by_print = grouped.select(F.col("print").alias("__print"), F.col("__component").alias("__c")).join(group_least, F.col("__c") == F.col("__component")).select("__print", "component_id")
+    # A table of its own, so that the join of a print that very many copies share is one that Spark splits.
+    by_print = written(spark, grouped.select(F.col("print").alias("__print"), F.col("__component").alias("__c")).join(group_least, F.col("__c") == F.col("__component")).select("__print", "component_id"), "groups")
     return rows.join(by_print, F.col("print") == F.col("__print")).drop("__print")
 
 
