@@ -173,11 +173,12 @@ def _scan(window: int, k: int):
         tag = np.array([t for _, t, _, _ in docs], dtype=np.int64)[owner]
         start = begin - (ends - np.array([size for _, _, _, size in docs]))[owner] + np.array([at for _, _, at, _ in docs])[owner]
         packed = _pack(start, count, tag)
-        # of equal contents here only the first goes on
+        # of equal contents here only the first goes on; the same row again repeats nothing
         key = mini * np.int64(0x2545F4914F6CDD1D) ^ content
         order = np.lexsort((packed, doc, key))
         again = np.concatenate([[False], key[order][1:] == key[order][:-1]])
-        keep, rest = order[~again], order[again]
+        lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+        keep, rest = order[~again], order[again & ((doc[order] != doc[lead]) | (packed[order] != packed[lead]))]
         gone = merged_ranges(doc[rest], tag[rest], start[rest], (start + count + window - 1)[rest])
         zero = np.zeros(len(gone[0]), dtype=np.int64)
         return pa.RecordBatch.from_arrays(

@@ -126,6 +126,16 @@ def test_repeated_ids_nulls_and_empty_table(spark):
     assert op6_suffix_dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_repeated_rows_of_one_scanned_piece(spark):
+    rng = random.Random(4)
+    long, other = ("".join(rng.choices("abcdefghij ", k=300)) for _ in range(2))
+    rows = [(1, long, "en", "s", 0)] * 2 + [(None, other, "en", "s", 0)] * 3 + [(2, long, "en", "s", 0)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, DOCS).repartition(parts) if parts > 1 else spark.createDataFrame(rows, DOCS).coalesce(1)
+        got = sorted((r.doc_id or 99, r.n_removed) for r in op6_suffix_dedup(df).collect())
+        assert got == [(1, 0), (1, 0), (2, 300), (99, 0), (99, 0), (99, 0)]
+
+
 def test_texts_without_repeats(spark):
     passage = "ñandú größer " + "".join(random.Random(2).choices("abcdéfgh", k=200))
     rows = [(1, passage, "es", "s", 1), (2, "before " + passage + " after", "es", "s", 1), (3, passage, "es", "s", 1)]
