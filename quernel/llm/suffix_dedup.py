@@ -21,14 +21,13 @@ a tag of the text.  To let any two equal windows meet without one array over the
 Equal segment contents are told by 128 bits of hashes.
 
 Defined cases: a null or empty text has no bytes; null ids come last in order; rows that repeat id and text are
-one document and get the same result each; rows that share an id only are told apart by a tag of the text; an
-empty table gives an empty result.
+one document and get the same result each; rows that share an id only are told apart by a tag of the text, 64 bits
+of its hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ HEAVY = 50_000
 PIECE = 1 << 19
 SEED = 17
 _NULL_ID = (1 << 63) - 1
-_TAG_BITS, _SIZE_BITS = 20, 7
+_SIZE_BITS = 7
 
 _RANDOM = np.random.default_rng(SEED)
 _SYMBOL = _RANDOM.integers(0, 1 << 64, size=256, dtype=np.uint64)
@@ -130,15 +129,16 @@ def segments(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, k: int =
 
 
 def tag_of(data: bytes) -> int:
-    return zlib.crc32(data) & ((1 << _TAG_BITS) - 1)
+    """64 bits of a text's hash, which tell texts of one id apart."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _pack(start: np.ndarray, count: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return (start << (_SIZE_BITS + _TAG_BITS)) | (count << _TAG_BITS) | tag
+def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start << _SIZE_BITS) | count
 
 
-def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return packed >> (_SIZE_BITS + _TAG_BITS), (packed >> _TAG_BITS) & ((1 << _SIZE_BITS) - 1), packed & ((1 << _TAG_BITS) - 1)
+def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed >> _SIZE_BITS, packed & ((1 << _SIZE_BITS) - 1)
 
 
 def merged_ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -159,7 +159,7 @@ def merged_ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.n
 
 
 def _scan(window: int, k: int):
-    """doc, text -> rows (route, content, doc, packed): segments by minimiser, and with a negative packed
+    """doc, text -> rows (route, content, doc, packed, tag): segments by minimiser, and with a negative packed
     value the ranges that repeat within a piece (content: the end)."""
 
     def piece_rows(docs: list[tuple[int, int, int, int]], data: bytes) -> pa.RecordBatch | None:
@@ -172,13 +172,13 @@ def _scan(window: int, k: int):
         doc = np.array([d for d, _, _, _ in docs], dtype=np.int64)[owner]
         tag = np.array([t for _, t, _, _ in docs], dtype=np.int64)[owner]
         start = begin - (ends - np.array([size for _, _, _, size in docs]))[owner] + np.array([at for _, _, at, _ in docs])[owner]
-        packed = _pack(start, count, tag)
+        packed = _pack(start, count)
         # of equal contents here only the first goes on; the same row again repeats nothing
         key = mini * np.int64(0x2545F4914F6CDD1D) ^ content
-        order = np.lexsort((packed, doc, key))
+        order = np.lexsort((tag, packed, doc, key))
         again = np.concatenate([[False], key[order][1:] == key[order][:-1]])
         lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-        keep, rest = order[~again], order[again & ((doc[order] != doc[lead]) | (packed[order] != packed[lead]))]
+        keep, rest = order[~again], order[again & ((doc[order] != doc[lead]) | (packed[order] != packed[lead]) | (tag[order] != tag[lead]))]
         gone = merged_ranges(doc[rest], tag[rest], start[rest], (start + count + window - 1)[rest])
         zero = np.zeros(len(gone[0]), dtype=np.int64)
         return pa.RecordBatch.from_arrays(
@@ -186,9 +186,10 @@ def _scan(window: int, k: int):
                 pa.array(np.concatenate([mini[keep], gone[0] * np.int64(0x2545F4914F6CDD1D) ^ gone[2]])),
                 pa.array(np.concatenate([content[keep], gone[3]])),
                 pa.array(np.concatenate([doc[keep], gone[0]])),
-                pa.array(np.concatenate([packed[keep], -1 - _pack(gone[2], zero, gone[1])])),
+                pa.array(np.concatenate([packed[keep], -1 - _pack(gone[2], zero)])),
+                pa.array(np.concatenate([tag[keep], gone[1]])),
             ],
-            names=["route", "content", "doc", "packed"],
+            names=["route", "content", "doc", "packed", "tag"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,7 @@ class _Minimisers:
     def __init__(self, heavy: int):
         self.heavy = heavy
         self.mini: int | None = None
-        self.held: list[np.ndarray] = []  # rows (doc, packed) of the minimiser that goes on
+        self.held: list[np.ndarray] = []  # rows (doc, packed, tag) of the minimiser that goes on
         self.waiting = 0
         self.out: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -265,7 +266,7 @@ class _Minimisers:
             self.pass_on(2)
 
     def pass_on(self, kind: int) -> None:
-        rows = np.concatenate(self.held) if self.held else np.empty((0, 2), dtype=np.int64)
+        rows = np.concatenate(self.held) if self.held else np.empty((0, 3), dtype=np.int64)
         if len(rows):
             self.out.append((kind, np.full(len(rows), self.mini, dtype=np.int64), rows))
         self.held = []
@@ -277,29 +278,29 @@ class _Minimisers:
 
 
 def _first_of_equal(window: int, heavy: int):
-    """Rows sorted by (route, content, doc, packed) -> (kind, doc, packed, length, route): kind 0, a range that
+    """Rows sorted by (route, content, doc, packed, tag) -> (kind, doc, packed, tag, length, route): kind 0, a range that
     repeats an earlier one in full; kinds 1 and 2, a segment to compare with others of its minimiser, 2 if those are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minimisers = _Minimisers(heavy)
-        last = None  # minimiser, content, doc and packed of the segment that later rows may repeat
+        last = None  # minimiser, content, doc, packed and tag of the segment that later rows may repeat
 
         def ready(ranges: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
             parts = []
             if ranges is not None and len(ranges[0]):
-                doc, packed, length = ranges
-                parts.append((np.zeros(len(doc), dtype=np.int32), doc, packed, length, np.zeros(len(doc), dtype=np.int64)))
-            parts += [(np.full(len(r), k, dtype=np.int32), rows[:, 0], rows[:, 1], np.zeros(len(r), dtype=np.int64), r) for k, r, rows in minimisers.out]
+                doc, packed, tag, length = ranges
+                parts.append((np.zeros(len(doc), dtype=np.int32), doc, packed, tag, length, np.zeros(len(doc), dtype=np.int64)))
+            parts += [(np.full(len(r), k, dtype=np.int32), rows[:, 0], rows[:, 1], rows[:, 2], np.zeros(len(r), dtype=np.int64), r) for k, r, rows in minimisers.out]
             minimisers.out.clear()
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(5)], names=["kind", "doc", "packed", "length", "route"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(6)], names=["kind", "doc", "packed", "tag", "length", "route"])
 
         for batch in batches:
-            route, content, doc, packed = (batch.column(i).to_numpy() for i in range(4))
+            route, content, doc, packed, tag = (batch.column(i).to_numpy() for i in range(5))
             gone = packed < 0
-            start, _, tag = _unpack(-1 - packed[gone])
-            ranges = [(doc[gone], _pack(start, np.zeros_like(start), tag), content[gone] - start)]
-            rows = np.column_stack([route, content, doc, packed])[~gone]
+            start, _ = _unpack(-1 - packed[gone])
+            ranges = [(doc[gone], _pack(start, np.zeros_like(start)), tag[gone], content[gone] - start)]
+            rows = np.column_stack([route, content, doc, packed, tag])[~gone]
             if len(rows):
                 if last is not None:
                     rows = np.vstack([last, rows])
@@ -307,13 +308,13 @@ def _first_of_equal(window: int, heavy: int):
                 lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
                 # the same row again repeats nothing
                 rest = rows[~first & np.any(rows[:, 2:] != lead[:, 2:], axis=1)]
-                start, count, tag = _unpack(rest[:, 3])
-                ranges.append((rest[:, 2], _pack(start, np.zeros_like(start), tag), count + window - 1))
+                start, count = _unpack(rest[:, 3])
+                ranges.append((rest[:, 2], _pack(start, np.zeros_like(start)), rest[:, 4], count + window - 1))
                 new = first.copy()
                 new[0] = last is None
                 minimisers.add(rows[new, 0], rows[new, 2:])
                 last = lead[-1]
-            yield from ready(tuple(np.concatenate([r[i] for r in ranges]) for i in range(3)))
+            yield from ready(tuple(np.concatenate([r[i] for r in ranges]) for i in range(4)))
         minimisers.close()
         yield from ready(None)
 
@@ -358,7 +359,7 @@ def split_segments(parts: list[bytes], route: np.ndarray, packed: np.ndarray, wi
     owner = np.searchsorted(firsts, hits, side="right") - 1
     _, first_hit = np.unique(owner, return_index=True)
     mark = hits[first_hit] - firsts
-    start, count, tag = _unpack(packed)
+    start, count = _unpack(packed)
     power, inverse = _powers(len(joined))
     prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_OTHER[joined] * power[: len(joined)], dtype=np.uint64)])
     content = lambda a, b: _mix((prefix[b] - prefix[a]) * inverse[a])
@@ -374,64 +375,65 @@ def split_segments(parts: list[bytes], route: np.ndarray, packed: np.ndarray, wi
         keys.append(key.view(np.int64))
         contents.append(_mix(content(firsts[at] + lo, firsts[at] + hi + window) + (hi - lo).astype(np.uint64) * _ODD[7]).view(np.int64))
         rows.append(at)
-        places.append(_pack(start[at] + lo, hi - lo + 1, tag[at]))
+        places.append(_pack(start[at] + lo, hi - lo + 1))
         cuts += [parts[i][x : y + window] for i, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)]
     return np.concatenate(keys), np.concatenate(contents), np.concatenate(rows), np.concatenate(places), cuts
 
 
 def _cut(window: int, k: int, slot: int):
-    """doc, tag, z, packed (list), route (list) -> (key, content, doc, packed, bytes) of each segment's pieces."""
+    """doc, tag, z, packed (list), route (list) -> (key, content, doc, packed, tag, bytes) of each segment's pieces."""
 
-    def pieces(parts: list[bytes], docs: list[int], routes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+    def pieces(parts: list[bytes], docs: list[int], tags: list[int], routes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
         key, content, row, packed, cuts = split_segments(parts, np.concatenate(routes), np.concatenate(places), window, k, slot)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(np.array(docs, dtype=np.int64)[row]), pa.array(packed), pa.array(cuts, pa.binary())], names=["route", "content", "doc", "packed", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(np.array(docs, dtype=np.int64)[row]), pa.array(packed), pa.array(np.array(tags, dtype=np.int64)[row]), pa.array(cuts, pa.binary())], names=["route", "content", "doc", "packed", "tag", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, docs, routes, places, size = [], [], [], [], 0
+        parts, docs, tags, routes, places, size = [], [], [], [], [], 0
         for batch in batches:
-            for doc, _, z, packed, route in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for doc, tag, z, packed, route in zip(*(batch.column(i) for i in range(5)), strict=True):
                 data = _inflated(z.as_py())
                 place = packed.values.to_numpy()
-                start, count, _ = _unpack(place)
+                start, count = _unpack(place)
                 own = [data[a:b] for a, b in zip(start.tolist(), (start + count + window - 1).tolist(), strict=True)]
                 parts += own
                 docs += [doc.as_py()] * len(own)
+                tags += [tag.as_py()] * len(own)
                 routes.append(route.values.to_numpy())
                 places.append(place)
                 size += sum(map(len, own))
                 if size >= PIECE:
-                    yield pieces(parts, docs, routes, places)
-                    parts, docs, routes, places, size = [], [], [], [], 0
+                    yield pieces(parts, docs, tags, routes, places)
+                    parts, docs, tags, routes, places, size = [], [], [], [], [], 0
         if parts:
-            yield pieces(parts, docs, routes, places)
+            yield pieces(parts, docs, tags, routes, places)
 
     return run
 
 
 def _cut_windows(window: int):
-    """doc, tag, z, packed (list), route (list) -> (h, g, doc, packed): every window of the segments, by 128 bits of hash."""
+    """doc, tag, z, packed (list), route (list) -> (h, g, doc, packed, tag): every window of the segments, by 128 bits of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, _, z, packed, _ in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for doc, tag, z, packed, _ in zip(*(batch.column(i) for i in range(5)), strict=True):
                 data = _inflated(z.as_py())
-                start, count, tag = _unpack(packed.values.to_numpy())
+                start, count = _unpack(packed.values.to_numpy())
                 at = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                 hashes = np.frombuffer(b"".join([hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in at.tolist()]), dtype=np.int64).reshape(-1, 2)
-                place = _pack(at, np.zeros_like(at), np.repeat(tag, count))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.full(len(at), doc.as_py(), dtype=np.int64)), pa.array(place)], names=["h", "g", "doc", "packed"])
+                place = _pack(at, np.zeros_like(at))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.full(len(at), doc.as_py(), dtype=np.int64)), pa.array(place), pa.array(np.full(len(at), tag.as_py(), dtype=np.int64))], names=["h", "g", "doc", "packed", "tag"])
 
     return run
 
 
 def _window_ranges(window: int):
-    """(doc, packed) of windows -> ranges, those of a batch merged."""
+    """(doc, packed, tag) of windows -> ranges, those of a batch merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, _, tag = _unpack(batch.column(1).to_numpy())
-            doc, tag, a, b = merged_ranges(batch.column(0).to_numpy(), tag, start, start + window)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(_pack(a, np.zeros_like(a), tag)), pa.array(b - a)], names=["doc", "packed", "length"])
+            start, _ = _unpack(batch.column(1).to_numpy())
+            doc, tag, a, b = merged_ranges(batch.column(0).to_numpy(), batch.column(2).to_numpy(), start, start + window)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(_pack(a, np.zeros_like(a))), pa.array(tag), pa.array(b - a)], names=["doc", "packed", "tag", "length"])
 
     return run
 
@@ -477,18 +479,18 @@ def repeated_by_window(parts: list[bytes], doc: np.ndarray, start: np.ndarray, t
 
 
 def _shards(window: int, shard_bytes: int):
-    """Rows sorted by (key, content, doc, packed), with bytes -> ranges that repeat."""
+    """Rows sorted by (key, content, doc, packed, tag), with bytes -> ranges that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, int, bytes]] = []  # doc, packed, bytes of whole keys
-        group: list[tuple[int, int, bytes]] = []  # of the key at hand, one for each content
+        shard: list[tuple[int, int, int, bytes]] = []  # doc, packed, tag, bytes of whole keys
+        group: list[tuple[int, int, int, bytes]] = []  # of the key at hand, one for each content
         size = group_size = 0
         key = content = None
         ready: list[tuple[np.ndarray, ...]] = []
 
-        def compare(rows: list[tuple[int, int, bytes]], find) -> None:
-            start, _, tag = _unpack(np.array([r[1] for r in rows], dtype=np.int64))
-            ready.append(find([r[2] for r in rows], np.array([r[0] for r in rows], dtype=np.int64), start, tag, window))
+        def compare(rows: list[tuple[int, int, int, bytes]], find) -> None:
+            doc, packed, tag = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+            ready.append(find([r[3] for r in rows], doc, _unpack(packed)[0], tag, window))
 
         def close() -> None:
             """The key is whole: compared by itself if it is too large, else put into the shard; one content is free of repeats."""
@@ -507,29 +509,29 @@ def _shards(window: int, shard_bytes: int):
         def found() -> Iterator[pa.RecordBatch]:
             for doc, tag, a, b in ready:
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(_pack(a, np.zeros_like(a), tag)), pa.array(b - a)], names=["doc", "packed", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(_pack(a, np.zeros_like(a))), pa.array(tag), pa.array(b - a)], names=["doc", "packed", "tag", "length"])
             ready.clear()
 
         for batch in batches:
-            route, con, ids, pack = (batch.column(i).to_numpy() for i in range(4))
+            route, con, ids, pack, tags = (batch.column(i).to_numpy() for i in range(5))
             again = np.concatenate([[route[0] == key and con[0] == content], (route[1:] == route[:-1]) & (con[1:] == con[:-1])]) if len(route) else np.empty(0, dtype=bool)
             # Equal contents: all but the first repeat in full; a row that is there twice repeats nothing.
             if again.any():
                 lead = np.maximum.accumulate(np.where(again, -1, np.arange(len(again))))
                 known = lead >= 0
-                last = group[-1] if group else (0, 0, b"")
-                twin = np.where(known, (ids[lead] == ids) & (pack[lead] == pack), (ids == last[0]) & (pack == last[1]))
+                last = group[-1] if group else (0, 0, 0, b"")
+                twin = np.where(known, (ids[lead] == ids) & (pack[lead] == pack) & (tags[lead] == tags), (ids == last[0]) & (pack == last[1]) & (tags == last[2]))
                 rest = again & ~twin
-                start, count, tag = _unpack(pack[rest])
-                ready.append(merged_ranges(ids[rest], tag, start, start + count + window - 1))
-            data = batch.column(4)
+                start, count = _unpack(pack[rest])
+                ready.append(merged_ranges(ids[rest], tags[rest], start, start + count + window - 1))
+            data = batch.column(5)
             for i in np.flatnonzero(~again).tolist():
                 if route[i] != key:
                     close()
                     key = route[i]
                 content = con[i]
                 piece = data[i].as_py()
-                group.append((int(ids[i]), int(pack[i]), piece))
+                group.append((int(ids[i]), int(pack[i]), int(tags[i]), piece))
                 group_size += len(piece) + 1
             yield from found()
         close()
@@ -540,36 +542,35 @@ def _shards(window: int, shard_bytes: int):
     return run
 
 
-RANGES = "doc long, packed long, length long"
+RANGES = "doc long, packed long, tag long, length long"
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, slot: int = SLOT, shard_bytes: int = SHARD_BYTES, heavy: int = HEAVY) -> DataFrame:
-    """(doc, packed, length) of ranges that repeat, as written tables; they may overlap."""
+    """(doc, packed, tag, length) of ranges that repeat, as written tables; they may overlap."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    scanned = rows.mapInArrow(lean(_scan(window, k)), "route long, content long, doc long, packed long")
-    sorted_rows = scanned.repartition("route").sortWithinPartitions("route", "content", "doc", "packed")
-    found = written(spark, sorted_rows.mapInArrow(lean(_first_of_equal(window, heavy)), "kind int, doc long, packed long, length long, route long"), "segments")
+    scanned = rows.mapInArrow(lean(_scan(window, k)), "route long, content long, doc long, packed long, tag long")
+    sorted_rows = scanned.repartition("route").sortWithinPartitions("route", "content", "doc", "packed", "tag")
+    found = written(spark, sorted_rows.mapInArrow(lean(_first_of_equal(window, heavy)), "kind int, doc long, packed long, tag long, length long, route long"), "segments")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text").mapInArrow(lean(_texts), "doc long, tag long, z binary")
 
     def placed(kind: int) -> DataFrame:
         """Texts with the segments of a kind that lie in them."""
-        tag = F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-        wanted = found.where(F.col("kind") == kind).groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("packed", "route")).alias("s"))
+        wanted = found.where(F.col("kind") == kind).groupBy("doc", "tag").agg(F.collect_list(F.struct("packed", "route")).alias("s"))
         return texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "z", F.col("s.packed").alias("packed"), F.col("s.route").alias("route"))
 
-    cut = placed(1).mapInArrow(lean(_cut(window, k, slot)), "route long, content long, doc long, packed long, bytes binary")
-    compared = cut.repartition("route").sortWithinPartitions("route", "content", "doc", "packed").mapInArrow(lean(_shards(window, shard_bytes)), RANGES)
-    out = found.where("kind = 0").select("doc", "packed", "length").unionByName(written(spark, compared, "ranges"))
+    cut = placed(1).mapInArrow(lean(_cut(window, k, slot)), "route long, content long, doc long, packed long, tag long, bytes binary")
+    compared = cut.repartition("route").sortWithinPartitions("route", "content", "doc", "packed", "tag").mapInArrow(lean(_shards(window, shard_bytes)), RANGES)
+    out = found.where("kind = 0").select("doc", "packed", "tag", "length").unionByName(written(spark, compared, "ranges"))
     if found.where("kind = 2").isEmpty():
         return out
     # Windows of very common minimisers: first occurrences are aggregated before they are shuffled, and joined back
     # as a table of their own, so that a hot window is a skewed join, which Spark splits.
-    windows = written(spark, placed(2).mapInArrow(lean(_cut_windows(window)), "h long, g long, doc long, packed long"), "windows")
-    first = windows.groupBy(F.col("h").alias("__h"), F.col("g").alias("__g")).agg(F.min(F.struct("doc", "packed")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    windows = written(spark, placed(2).mapInArrow(lean(_cut_windows(window)), "h long, g long, doc long, packed long, tag long"), "windows")
+    first = windows.groupBy(F.col("h").alias("__h"), F.col("g").alias("__g")).agg(F.min(F.struct("doc", "packed", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = written(spark, first, "firsts")
-    late = windows.join(firsts, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).where(F.struct("doc", "packed") != F.col("first"))
-    return out.unionByName(written(spark, late.select("doc", "packed").mapInArrow(lean(_window_ranges(window)), RANGES), "heavy"))
+    late = windows.join(firsts, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).where(F.struct("doc", "packed", "tag") != F.col("first"))
+    return out.unionByName(written(spark, late.select("doc", "packed", "tag").mapInArrow(lean(_window_ranges(window)), RANGES), "heavy"))
 
 
 def _apply(names: list[str], want_text: bool):
@@ -584,7 +585,7 @@ def _apply(names: list[str], want_text: bool):
                     data = _inflated(z.as_py())
                     kept, removed, spans = data, 0, 0
                     if packed.is_valid and len(packed):
-                        start = packed.values.to_numpy() >> (_SIZE_BITS + _TAG_BITS)
+                        start = packed.values.to_numpy() >> _SIZE_BITS
                         zero = np.zeros(len(start), dtype=np.int64)
                         _, _, a, b = merged_ranges(zero, zero, start, start + length.values.to_numpy())
                         edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(data)]
@@ -608,8 +609,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], want_text: bool = False, *
     types = {c: docs.schema[c].dataType.simpleString() for c in carry}
     declared = [f"`{c}` {t}" for c, t in types.items()]
     texts = docs.select(*carry, key.alias("__doc"), "text").mapInArrow(lean(_texts), ", ".join([*declared, "`__doc` long", "tag long", "z binary"]))
-    tag = F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
-    gathered = ranges.groupBy(F.col("doc").alias("__d"), tag.alias("__t")).agg(F.collect_list(F.struct("packed", "length")).alias("s"))
+    gathered = ranges.groupBy(F.col("doc").alias("__d"), F.col("tag").alias("__t")).agg(F.collect_list(F.struct("packed", "length")).alias("s"))
     joined = texts.join(gathered, (F.col("__doc") == F.col("__d")) & (F.col("tag") == F.col("__t")), "left")
     rows = joined.select(*carry, "z", F.col("s.packed").alias("packed"), F.col("s.length").alias("length"))
     added = ["kept_text string", "n_removed long"] if want_text else ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -136,6 +137,17 @@ def test_repeated_rows_of_one_scanned_piece(spark):
         assert got == [(1, 0), (1, 0), (2, 300), (99, 0), (99, 0), (99, 0)]
 
 
+def test_many_texts_of_one_null_id_keep_their_own_bytes(spark):
+    rng = random.Random(6)
+    # 3,000 texts of one id: some two share any 20 bits of a checksum
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=120)) for _ in range(3000)]
+    a, b = next((i, j) for seen in [{}] for j, t in enumerate(texts) if (i := seen.setdefault(zlib.crc32(t.encode()) & 0xFFFFF, j)) != j)
+    rows = [(None, t, "en", "s", 0) for t in texts] + [(1, texts[a], "en", "s", 0)]
+    got = {r.text: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), ["doc_id", "text"]).where("doc_id is null").collect()}
+    assert got == {t: 120 if t == texts[a] else 0 for t in texts}
+    assert texts[b] != texts[a]
+
+
 def test_texts_without_repeats(spark):
     passage = "ñandú größer " + "".join(random.Random(2).choices("abcdéfgh", k=200))
     rows = [(1, passage, "es", "s", 1), (2, "before " + passage + " after", "es", "s", 1), (3, passage, "es", "s", 1)]
