@@ -63,15 +63,16 @@ class ApproximationFile:
         return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in self.exact[rows]], dtype=np.int64)
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of each query's best k rows here, ties to smaller ids."""
+        """(query id, ids, scores) of each query's best k ids here, each by its best row, ties to smaller ids."""
         lower, upper = self.bounds(queries)
+        firsts = np.flatnonzero(np.concatenate([[True], self.ids[1:] != self.ids[:-1]]))  # of each id's rows
         for q in range(len(ids)):
             own = self.ids == ids[q]
             up = np.where(own, -np.inf, upper[q])
-            others = len(own) - int(own.sum())
+            others = len(firsts) - int(own[firsts].sum())
             if not others:
                 continue
-            low = np.where(own, -np.inf, lower[q])
+            low = np.maximum.reduceat(np.where(own, -np.inf, lower[q]), firsts)
             kth = np.partition(low, -min(k, others))[-min(k, others)]
             rows = np.flatnonzero(up >= kth)
             rows = rows[np.argsort(-up[rows], kind="stable")]
@@ -82,7 +83,7 @@ class ApproximationFile:
                 part = rows[at : at + CHUNK]
                 best = np.vstack([best, np.column_stack([self.scores(part, queries[q]), self.ids[part]])])
                 best = best[np.lexsort((best[:, 1], -best[:, 0]))]
-                best = best[np.concatenate([[True], np.any(best[1:] != best[:-1], axis=1)])][:k]
+                best = best[np.sort(np.unique(best[:, 1], return_index=True)[1])][:k]  # an id's best row only
             yield int(ids[q]), best[:, 1], best[:, 0]
 
 

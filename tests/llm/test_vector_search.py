@@ -38,6 +38,18 @@ def test_against_brute_force_with_odd_rows(spark):
     assert sorted(tuple(r) for r in again.select("query_id", "rank", "vec_id", "score").collect()) == got
 
 
+def test_an_id_repeated_more_than_k_times_takes_one_place(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)], 0) for i in range(60)]
+    rows += [(1, [x * (1 + j / 50) for x in rows[0][1]], 1) for j in range(6)] + [(2, rows[50][1], 1)] * 6
+    for group_rows in (1000, 8):
+        df = spark.createDataFrame(rows, SCHEMA)
+        found = top_k(df, df.where("vec_id % 50 = 0"), group_rows=group_rows).select("query_id", "rank", "vec_id", "score")
+        assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    file = ApproximationFile(np.array([7] * 9 + [8]), np.array([[5.0]] * 9 + [[1.0]]), 6)
+    assert [(i.tolist(), s.tolist()) for _, i, s in file.search(np.array([-1]), np.array([[1.0]]), 3)] == [([7, 8], [5, 1])]
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert op1_top_k(empty).collect() == []
