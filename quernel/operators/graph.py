@@ -16,13 +16,13 @@ def edges_of(table: DataFrame, source: str, target: str) -> DataFrame:
     return table.select(F.col(source).cast("long").alias("src"), F.col(target).cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
-def _kept(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+def kept(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
     """df written to the shared checkpoint folder, or in memory with a lineage where none is set; and its rows."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = df.persist()
         return held, held.count()
-    path = f"{root.rstrip('/')}/bfs-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)  # counted as it is written
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
@@ -35,7 +35,7 @@ def bfs_distance(table: DataFrame, start: int, source: str, target: str) -> Data
     in the shared folder, so the plan stays short and lost executors cost one hop.
     """
     spark = table.sparkSession
-    edges, _ = _kept(spark, edges_of(table, source, target))
+    edges, _ = kept(spark, edges_of(table, source, target))
     most = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
     empty = spark.createDataFrame([], "node long, distance int")
     if most is None or not 0 <= start <= most:
@@ -46,7 +46,7 @@ def bfs_distance(table: DataFrame, start: int, source: str, target: str) -> Data
         for earlier in hops[1:]:
             reached = reached.unionByName(earlier)
         found = edges.join(hops[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        fresh, rows = _kept(spark, found.join(reached.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)))
+        fresh, rows = kept(spark, found.join(reached.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)))
         if not rows:
             return reached
         hops.append(fresh)

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.operators.graph import kept
+
 COMPARE = {
     "=": lambda c, v: c == v,
     ">": lambda c, v: c > v,
@@ -125,6 +127,17 @@ def top_rows(table: DataFrame, order: Sequence[Column], limit: int, rank: str =
     return first.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_rows(table: DataFrame, order: Sequence[Column], rank: str = "rn") -> DataFrame:
+    """Every row with its place in a total order: rows are dealt by range and kept, so that a place is the rows of
+    the ranges before and the place within one; only a count of each range goes through a single task."""
+    parts, _ = kept(table.sparkSession, table.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(F.broadcast(offsets), "__part").withColumn(rank, place).drop("__part", "__before")
+
+
 # Dictionaries
 
 

@@ -249,6 +249,14 @@ def agg_scalar_filtered(spark, d):
     return rel.scalar_aggregates(read(spark, d, "part"), {"n": ("count", "*"), "s": ("sum", "p_size"), "lo": ("min", "p_size"), "hi": ("max", "p_size"), "mean": ("avg", "p_size")}, rows)
 
 
+@query(
+    """SELECT COUNT(*) AS n, CAST(SUM(p_size) AS BIGINT) AS s, MIN(p_size) AS lo, MAX(p_size) AS hi, CAST(SUM(p_size) AS DOUBLE) / COUNT(*) AS mean
+    FROM part WHERE p_size > 10"""
+)
+def agg_scalar_filtered_full(spark, d):
+    return rel.scalar_aggregates(read(spark, d, "part"), {"n": ("count", "*"), "s": ("sum", "p_size"), "lo": ("min", "p_size"), "hi": ("max", "p_size"), "mean": ("avg", "p_size")}, F.col("p_size") > 10)
+
+
 @query("SELECT COUNT(*) AS n, CAST(SUM(p_size) AS BIGINT) AS s, MIN(p_size) AS lo, MAX(p_size) AS hi, AVG(p_size) AS mean FROM part WHERE p_size > 100000")
 def agg_empty(spark, d):
     return rel.scalar_aggregates(read(spark, d, "part"), {"n": ("count", "*"), "s": ("sum", "p_size"), "lo": ("min", "p_size"), "hi": ("max", "p_size"), "mean": ("avg", "p_size")}, F.col("p_size") > 100000)
@@ -365,6 +373,18 @@ def sort_desc(spark, d):
     return rel.top_rows(read(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_custkey").desc(), F.col("o_orderkey")], 200)
 
 
+@query(_ranked("o_custkey, o_orderkey"))
+def sort_asc_full(spark, d):
+    rows = rel.ranked_rows(read(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_custkey"), F.col("o_orderkey")])
+    return rows.withColumn("rn", F.col("rn").cast("int"))
+
+
+@query(_ranked("o_custkey DESC, o_orderkey"))
+def sort_desc_full(spark, d):
+    rows = rel.ranked_rows(read(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_custkey").desc(), F.col("o_orderkey")])
+    return rows.withColumn("rn", F.col("rn").cast("int"))
+
+
 @query("SELECT n_nationkey, n_name, CAST(ROW_NUMBER() OVER (ORDER BY n_name DESC, n_nationkey) AS INTEGER) AS rn FROM nation ORDER BY rn LIMIT 7")
 def topk(spark, d):
     return rel.top_rows(read(spark, d, "nation").select("n_nationkey", "n_name"), [F.col("n_name").desc(), F.col("n_nationkey")], 7)

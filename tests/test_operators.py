@@ -22,6 +22,23 @@ def test_shared_counts_are_one_pass(spark):
     assert {r.name: r.cnt for r in rel.shared_counts(rows, {"even": F.col("id") % 2 == 0, "none": F.col("id") < 0}).collect()} == {"even": 500, "none": 0}
 
 
+def test_ranked_rows_keeps_every_row(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(3000)]
+    for order, key in (([F.col("a"), F.col("b")], lambda r: r), ([F.col("a").desc(), F.col("b")], lambda r: (-r[0], r[1]))):
+        got = rel.ranked_rows(spark.createDataFrame(rows, "a int, b int").repartition(5), order).collect()
+        assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.rn)] == sorted(rows, key=key)
+        assert sorted(r.rn for r in got) == list(range(1, 3001))
+    assert rel.ranked_rows(spark.createDataFrame([], "a int"), [F.col("a")]).collect() == []
+
+
+def test_full_sorts_return_the_whole_table(spark):
+    from quernel.plans import catalog
+
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    for name in ("sort_asc_full", "sort_desc_full"):
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.01").count() == orders > 200
+
+
 def test_scalar_aggregates_of_nothing(spark):
     row = rel.scalar_aggregates(spark.range(0), {"n": ("count", "*"), "s": ("sum", "id"), "a": ("avg", "id")}).first()
     assert tuple(row) == (0, None, None)
