@@ -463,6 +463,34 @@ def graph_projection(spark, d):
     return graph.edges_of(read(spark, d, "orders").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 50).alias("b")), "a", "b")
 
 
+# Customers, orders and parts as one graph: ids of three kinds, told apart modulo 3; edges go both ways.
+_LINKS = """SELECT DISTINCT CAST(o_custkey AS BIGINT) * 3 AS a, CAST(o_orderkey AS BIGINT) * 3 + 1 AS b FROM orders
+    UNION SELECT DISTINCT CAST(l_orderkey AS BIGINT) * 3 + 1, CAST(l_partkey AS BIGINT) * 3 + 2 FROM lineitem"""
+
+
+def _both_ways(spark, d) -> DataFrame:
+    kind = lambda column, n: (F.col(column).cast("long") * 3 + n)
+    links = read(spark, d, "orders").select(kind("o_custkey", 0).alias("a"), kind("o_orderkey", 1).alias("b"))
+    links = links.unionByName(read(spark, d, "lineitem").select(kind("l_orderkey", 1).alias("a"), kind("l_partkey", 2).alias("b")))
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+@query(
+    f"""WITH RECURSIVE links AS ({_LINKS}), edges AS MATERIALIZED (SELECT a AS src, b AS dst FROM links UNION SELECT b, a FROM links),
+    walk(node, distance) USING KEY (node) AS (SELECT MIN(CAST(o_custkey AS BIGINT)) * 3, 0 FROM orders
+    UNION SELECT DISTINCT e.dst, w.distance + 1 FROM walk w JOIN edges e ON w.node = e.src ANTI JOIN recurring.walk r ON r.node = e.dst)
+    SELECT node AS node_id, CAST(distance AS INTEGER) AS distance FROM walk"""
+)
+def bfs_distance_full(spark, d):
+    start = read(spark, d, "orders").agg(F.min("o_custkey")).first()[0] * 3
+    return graph.bfs_distance(_both_ways(spark, d), start, "a", "b").withColumnRenamed("node", "node_id")
+
+
+@query(f"WITH links AS ({_LINKS}) SELECT a AS src, b AS dst FROM links UNION SELECT b, a FROM links")
+def graph_projection_full(spark, d):
+    return graph.edges_of(_both_ways(spark, d), "a", "b")
+
+
 # DML: what a table holds afterwards
 
 

@@ -39,6 +39,29 @@ def test_full_sorts_return_the_whole_table(spark):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.01").count() == orders > 200
 
 
+def test_full_search_follows_every_order_and_line(spark):
+    from quernel.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    pairs = {(3 * r[0], 3 * r[1] + 1) for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_custkey", "o_orderkey").collect()}
+    pairs |= {(3 * r[0] + 1, 3 * r[1] + 2) for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    edges = {tuple(r) for r in catalog.queries()["graph_projection_full"](spark, folder).select("src", "dst").collect()}
+    assert edges == pairs | {(b, a) for a, b in pairs}
+    start = min(a for a in near if a % 3 == 0)
+    want, queue = {start: 0}, [start]
+    for at in queue:
+        for to in near[at]:
+            if to not in want:
+                want[to] = want[at] + 1
+                queue.append(to)
+    assert {r.node_id: r.distance for r in catalog.queries()["bfs_distance_full"](spark, folder).collect()} == want
+    assert max(want.values()) > 2
+
+
 def test_scalar_aggregates_of_nothing(spark):
     row = rel.scalar_aggregates(spark.range(0), {"n": ("count", "*"), "s": ("sum", "id"), "a": ("avg", "id")}).first()
     assert tuple(row) == (0, None, None)
