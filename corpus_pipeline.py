@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import language_id, mixing, packing, simhash, suffix_dedup
+from quernel.llm import language_id, mixing, near_copies, packing, suffix_dedup
 from quernel.llm.common import table, written
 from quernel.session import ship
 
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the least doc_id."""
     ship(spark)
-    return simhash.kept_documents(docs)
+    return near_copies.kept_documents(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

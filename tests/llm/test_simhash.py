@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quernel.llm.components import Forest
-from quernel.llm.simhash import fingerprint, golay, kept_documents, keys, op8_simhash, within
+from quernel.llm.simhash import bit_counts, fingerprint, golay, keys, op8_simhash, within
 from tests.llm.fixtures import DOCS, documents
 
 
@@ -58,7 +58,7 @@ def test_within_is_a_forest_of_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, size=3, dtype=np.uint64)
     prints = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) for b in base]))
-    pairs = within(prints, 4)
+    pairs = within(prints[:, None], 4)
     forest, want = Forest(), Forest()
     for a, b in pairs:
         assert forest.join(a, b)
@@ -75,11 +75,30 @@ def test_documents_against_brute_force(spark):
     assert len({c for _, _, c in got}) < len({r[0] for r in rows}) - 5
 
 
-def test_one_of_each_group_is_kept(spark):
-    rows = [r for r in documents(150) if r[0] is not None]
-    out = kept_documents(spark.createDataFrame(rows, DOCS))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in brute_components(rows)})
+def test_very_long_texts_are_counted_whole():
+    text = " ".join(f"w{i * i % 7001}" for i in range(70_000))  # more shingles than are hashed at once
+    words = text.split()
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(len(words) - 3)], dtype=np.uint64)
+    size, total = bit_counts([text, None, "a b"], 4, 2)
+    assert size.tolist() == [len(hashes), 0, 1]
+    assert total[0, :64].tolist() == [int((hashes >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+    assert not total[1].any() and set(total[2].tolist()) == {0, 1}
+
+
+def test_a_large_group_of_near_prints_is_joined(spark):
+    rng = np.random.default_rng(3)
+    flips = rng.integers(0, 64, size=(3000, 2), dtype=np.uint64)
+    prints = np.unique(np.uint64(0x1234567890ABCDEF) ^ (np.uint64(1) << flips[:, 0]) ^ (np.uint64(1) << flips[:, 1]))
+    forest = Forest()
+    for a, b in within(prints[:, None], 4):
+        forest.join(a, b)
+    assert {forest.root(i) for i in range(len(prints))} == {0}
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", 7), (2, "a b c d e f", "y", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, print string, component_id long")
+    assert sorted(tuple(r) for r in op8_simhash(docs).collect()) == [(1, f"{brute_print(rows[0][1]):016x}", 1), (2, f"{brute_print(rows[0][1]):016x}", 1)]
 
 
 def test_nulls_and_empty_table(spark):
@@ -87,4 +106,3 @@ def test_nulls_and_empty_table(spark):
     rows = [(None, "a b c d e", "en", "s", 1), (4, None, "en", "s", 1), (3, "", "en", "s", 1), (None, "z y x", "en", "s", 1), (9, "z  Y\tx", "en", "s", 1)]
     got = op8_simhash(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(None, None), (4, 3), (3, 3), (None, 9), (9, 9)], key=str)
-    assert kept_documents(spark.createDataFrame(rows, DOCS)).count() == 3
