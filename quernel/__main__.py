@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from quernel.plans.engine import Engine
-from quernel.session import session
+from quernel.session import session, shared_folder
 
 
-def main(root: str, lines=sys.stdin, out=sys.stdout) -> None:
-    engine = Engine(session(master="local[*]"), root)
+def main(root: str | None, lines=sys.stdin, out=sys.stdout) -> None:
+    """Without a folder the tables lie in the session's shared folder."""
+    spark = session(master="local[*]")
+    engine = Engine(spark, root or f"{shared_folder(spark)}/console")
     for line in lines:
         line = line.strip().rstrip(";")
         if line.lower() in ("exit", "quit"):
@@ -21,4 +22,4 @@ def main(root: str, lines=sys.stdin, out=sys.stdout) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1] if len(sys.argv) > 1 else tempfile.mkdtemp(prefix="quernel-"))
+    main(sys.argv[1] if len(sys.argv) > 1 else None)

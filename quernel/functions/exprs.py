@@ -79,6 +79,15 @@ def cosine(vector: Column | str, query: Sequence[float]) -> Column:
     return F.when(F.size(column) == len(query), score)
 
 
+def cosine_sql(column: str, query: Sequence[float]) -> str:
+    """The same as SQL text, for a column as a statement names it."""
+    wanted = ", ".join(f"{float(x)!r}D" for x in query)
+    length = sum(float(x) ** 2 for x in query) ** 0.5
+    own = f"sqrt(aggregate({column}, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
+    product = f"aggregate(zip_with({column}, array({wanted}), (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)"
+    return f"(CASE WHEN size({column}) = {len(query)} THEN {product} / nullif({own} * {length!r}D, 0D) END)"
+
+
 def vector_signature(vector: Column | str) -> Column:
     """A 64-bit hash; equal vectors have equal ones."""
     return F.xxhash64(_column(vector))

@@ -144,8 +144,8 @@ def ranked_rows(table: DataFrame, order: Sequence[Column], rank: str = "rn") ->
 def dictionary(table: DataFrame, column: str, position: str) -> DataFrame:
     """value, id: dense ids from 0 in order of first appearance."""
     first = table.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(position).alias("__first"))
-    # one row for each distinct value goes through the single ordered task
-    return first.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).cast("int").alias("id"))
+    # values are numbered range by range, so no task orders them all
+    return ranked_rows(first, [F.col("__first"), F.col("value")], "__place").select("value", (F.col("__place") - 1).cast("int").alias("id"))
 
 
 def encode(table: DataFrame, column: str, known: DataFrame, out: str) -> DataFrame:

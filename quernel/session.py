@@ -31,13 +31,31 @@ def session(app: str = "quernel", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.  Where that is unset, a temporary
+    folder in local mode, as in tests; on a cluster an error, since other machines would not see it."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quernel-")
+        root = _OWN[context.applicationId]
+    return root.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application, as spark-submit --py-files would."""
+    """Give executors this package, once per application, as spark-submit --py-files would; and bound the bytes of an Arrow
+    batch (BATCH_BYTES) in every session that has no bound of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
-    if _BATCH not in dict(context.getConf().getAll()):
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="quernel-ship-")
     target = os.path.join(folder, "quernel.zip")

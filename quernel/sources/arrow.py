@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quernel.sources.table import Table, default_column
 
@@ -47,9 +48,35 @@ def batches(df: DataFrame, rows: int = 4096) -> Iterator[list]:
         yield held
 
 
+def _as_bytes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        # by copy, so that a slice does not carry what it was cut from
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, part.schema) as writer:
+            writer.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+
+def record_batches(df: DataFrame) -> tuple[pa.Schema, Iterator[pa.RecordBatch]]:
+    """The result's schema and its record batches in order, one partition at a time on the driver."""
+    schema = to_arrow_schema(df.schema)
+
+    def stream() -> Iterator[pa.RecordBatch]:
+        for row in df.mapInArrow(_as_bytes, "ipc binary").toLocalIterator():
+            for part in pa.ipc.open_stream(row.ipc):
+                # the optimiser may know a column to have no nulls where the declared schema does not
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(part.columns, schema, strict=True)], schema=schema)
+
+    return schema, stream()
+
+
 def to_text(df: DataFrame, limit: int | None = None) -> str:
     """Cells between bars, a line for each row; nulls as NULL."""
-    rows = (df if limit is None else df.limit(limit)).collect()
-    lines = [" | ".join(df.columns)]
-    lines += [" | ".join("NULL" if v is None else str(v) for v in row) for row in rows]
-    return "\n".join(lines)
+    return "\n".join(text_lines(df if limit is None else df.limit(limit)))
+
+
+def text_lines(df: DataFrame) -> Iterator[str]:
+    """The same line by line, one partition at a time on the driver."""
+    yield " | ".join(df.columns)
+    for row in df.toLocalIterator():
+        yield " | ".join("NULL" if v is None else str(v) for v in row)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import SparkSession
 
+#: What a file is called until it is whole.
+PARTIAL = "_partial-"
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -17,42 +24,71 @@ class Store:
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
 
-    def names(self, folder: str) -> list[str]:
+    def listed(self, folder: str) -> list[tuple[str, str, float]]:
+        """(name, full URI, seconds since 1970 when it was written) of what is in a folder."""
         if not self.exists(folder):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+        return sorted((s.getPath().getName(), s.getPath().toString(), s.getModificationTime() / 1000) for s in self._fs.listStatus(self._path(folder)))
+
+    def names(self, folder: str) -> list[str]:
+        return [name for name, *_ in self.listed(folder)]
 
     def files(self, folder: str, suffix: str) -> list[str]:
         """Full URIs of the data files in a folder."""
-        if not self.exists(folder):
-            return []
-        return sorted(s.getPath().toString() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(suffix))
+        return [uri for name, uri, _ in self.listed(folder) if name.endswith(suffix)]
 
     def read(self, name: str) -> str:
+        return self.read_bytes(name).decode()
+
+    def read_bytes(self, name: str) -> bytes:
         stream = self._fs.open(self._path(name))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
 
-    def write_new(self, name: str, text: str) -> bool:
-        """Write a file that does not exist yet; False if another writer was first."""
+    def write_new(self, name: str, data: str | bytes) -> bool:
+        """Write a file that does not exist yet; False if another writer was first.  Readers see it whole or not at all: it
+        is written under another name and renamed, which fails where the name is taken."""
         path = self._path(name)
+        if self._fs.exists(path):
+            return False
+        partial = self._jvm.org.apache.hadoop.fs.Path(path.getParent(), f"{PARTIAL}{uuid.uuid4().hex}")
         self._fs.mkdirs(path.getParent())
+        stream = self._fs.create(partial, False)
         try:
-            stream = self._fs.create(path, False)
+            stream.write(bytearray(data.encode() if isinstance(data, str) else data))
+        finally:
+            stream.close()
+        try:
+            return self._name(partial, path)
+        finally:
+            self._fs.delete(partial, False)
+
+    def _name(self, partial, path) -> bool:
+        whole = self._fs.makeQualified(path).toString()
+        if urlparse(whole).scheme == "file":
+            # a local rename would replace what is there; a second link to the file is refused
+            local = lambda p: unquote(urlparse(self._fs.makeQualified(p).toString()).path)
+            try:
+                os.link(local(partial), local(path))
+            except FileExistsError:
+                return False
+            except OSError:  # no links here: the next best
+                return not self._fs.exists(path) and self._fs.rename(partial, path)
+            return True
+        try:
+            return self._fs.rename(partial, path)
         except Exception as error:
             if "AlreadyExists" in str(error) or "already exists" in str(error):
                 return False
             raise
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        return True
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
 
     def delete_file(self, uri: str) -> None:
         self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(uri), False)
+
+    def delete_folder_of(self, uri: str) -> None:
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(uri).getParent(), True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 import queue
 import threading
 from collections.abc import Sequence
@@ -14,28 +14,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quernel.operators.relational import shared_threshold_counts
 from quernel.sources.arrow import aligned
+from quernel.sources.files import Store
 from quernel.sources.table import Table
 
 
 def stream_into(stream: DataFrame, table: Table, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a stream's micro-batches to a table, columns aligned and padded; once: take what is there and stop.
 
-    A batch that runs again after a failure is told by its number in the table's store, so it is appended once.
+    The manifest that adds a batch's rows names the stream (the id in its checkpoint) and the batch, so a batch that
+    runs again after a failure is appended once, wherever the failure was.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        mark = f"streams/{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}/{number:012d}"
-        if table.store.exists(mark):
-            return
-        table.append(aligned(batch, table.schema))
-        table.store.write_new(mark, "")
+        name = json.loads(Store(table.spark, checkpoint).read("metadata"))["id"]
+        table.refresh()
+        table.append(aligned(batch, table.schema), stream=name, batch=number)
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 class Writer:
-    """A queue of inserts and flushes with one consumer; inserts that wait together become one append."""
+    """A queue of inserts and flushes with one consumer; inserts that wait together become one append.  A Future is done
+    once its row stands in the table's log."""
 
     FUSED = 1000
 
@@ -91,26 +92,68 @@ class Writer:
 
 
 class CountFusion:
-    """Counting queries that are asked together share one scan: at most FUSED thresholds a pass."""
+    """Counting queries that are asked together share one scan: at most FUSED thresholds a pass.
+
+    start() has a thread answer them as they come; without it run() answers what was asked.  A scan that fails
+    fails its own queries only."""
 
     FUSED = 100
 
     def __init__(self, table: Table, column: str):
-        self.table, self.column, self.asked, self.passes = table, column, [], 0
+        self.table, self.column, self.passes = table, column, 0
+        self.asked: queue.Queue = queue.Queue()
+        self.thread: threading.Thread | None = None
 
     def count_gt(self, threshold: int) -> Future:
         done: Future = Future()
-        self.asked.append((threshold, done))
+        self.asked.put((threshold, done))
         return done
 
+    def start(self) -> CountFusion:
+        self.thread = threading.Thread(target=self._serve, daemon=True)
+        self.thread.start()
+        return self
+
+    def close(self) -> None:
+        """Answer what was asked and end the thread."""
+        if self.thread is not None:
+            self.asked.put(None)
+            self.thread.join()
+            self.thread = None
+
+    def __enter__(self) -> CountFusion:
+        return self if self.thread is not None else self.start()
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def run(self) -> None:
-        rows = self.table.snapshot()
-        while self.asked:
-            part, self.asked = self.asked[: self.FUSED], self.asked[self.FUSED :]
-            found = {r.threshold: r.cnt for r in shared_threshold_counts(rows, self.column, sorted({t for t, _ in part})).collect()}
+        while part := self._waiting([]):
+            self._answer(part)
+
+    def _waiting(self, part: list) -> list:
+        """part and what else waits, up to a pass."""
+        while len(part) < self.FUSED and not self.asked.empty():
+            if (more := self.asked.get()) is None:
+                self.asked.put(None)
+                break
+            part.append(more)
+        return part
+
+    def _serve(self) -> None:
+        while (first := self.asked.get()) is not None:
+            self._answer(self._waiting([first]))
+
+    def _answer(self, part: list[tuple[int, Future]]) -> None:
+        try:
+            found = {r.threshold: r.cnt for r in shared_threshold_counts(self.table.snapshot(), self.column, sorted({t for t, _ in part})).collect()}
             self.passes += 1
             for threshold, done in part:
                 done.set_result(found[threshold])
+        except Exception as error:
+            for _, done in part:
+                if not done.done():
+                    done.set_exception(error)
 
 
 def count_gt(table: DataFrame, column: str, threshold) -> int:

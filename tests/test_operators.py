@@ -35,7 +35,7 @@ def test_full_sorts_return_the_whole_table(spark):
     from quernel.plans import catalog
 
     orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
-    for name in ("sort_asc_full", "sort_desc_full"):
+    for name in ("sort_asc", "sort_desc"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.01").count() == orders > 200
 
 
@@ -49,7 +49,7 @@ def test_full_search_follows_every_order_and_line(spark):
     for a, b in pairs:
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
-    edges = {tuple(r) for r in catalog.queries()["graph_projection_full"](spark, folder).select("src", "dst").collect()}
+    edges = {tuple(r) for r in catalog.queries()["graph_projection"](spark, folder).select("src", "dst").collect()}
     assert edges == pairs | {(b, a) for a, b in pairs}
     start = min(a for a in near if a % 3 == 0)
     want, queue = {start: 0}, [start]
@@ -58,7 +58,7 @@ def test_full_search_follows_every_order_and_line(spark):
             if to not in want:
                 want[to] = want[at] + 1
                 queue.append(to)
-    assert {r.node_id: r.distance for r in catalog.queries()["bfs_distance_full"](spark, folder).collect()} == want
+    assert {r.node_id: r.distance for r in catalog.queries()["bfs_distance"](spark, folder).collect()} == want
     assert max(want.values()) > 2
 
 
