@@ -6,37 +6,21 @@ import ctypes
 import functools
 import gc
 import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.session import ship
+from quernel.session import shared_folder, ship
 
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a temporary one of
-    this machine only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN:
-            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="quernel-")
-        root = _OWN[application]
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quernel-{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/quernel-{tag}-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
@@ -52,11 +36,17 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def small(totals: DataFrame) -> DataFrame:
-    """totals as a written table, broadcast if it has at most BROADCAST_ROWS rows.  Beyond, both sides of a join are
-    shuffled as they are read, so that Spark can split a hot key."""
+def small(totals: DataFrame, entries: Column | None = None) -> DataFrame:
+    """totals as a written table, broadcast if it has at most BROADCAST_ROWS rows (or entries, for rows that hold several).
+    Beyond, both sides of a join are shuffled as they are read, so that Spark can split a hot key."""
     table = written(totals.sparkSession, totals, "totals")
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    size = table.count() if entries is None else table.agg(F.sum(entries)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
+
+
+def spread(spark: SparkSession) -> int:
+    """How many tasks a shuffle has that must not be coalesced: rows that are few now but become many."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
@@ -69,7 +59,10 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def lean(run):
-    """An Arrow function that gives memory back when its task ends, since workers live on beside the JVM."""
+    """An Arrow function that gives memory back when its task ends, since workers live on beside the JVM.  Whoever plans
+    with one has this package sent to the executors."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
 
     @functools.wraps(run)
     def outer(batches):

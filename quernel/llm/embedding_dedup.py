@@ -8,12 +8,16 @@ independently.  Inside a cell
 
 * members within r / 2 of the pivot are all linked to each other: they are counted, never paired, which
   takes care of a third of all rows being near copies of one vector;
-* home rows are dealt into chunks of bounded size, each of which meets the cell's members in a stream;
-  members whose distance from the pivot differs by more than r from all of a chunk are skipped.
+* home rows are cut into chunks of about CHUNK_ROWS by their distance from the pivot (rings); a member at
+  distance d is sent only to the chunks whose ring meets [d - r, d + r], and streams past them.
+
+What is shuffled for a cell of n members is at most n * n / CHUNK_ROWS vectors, in the precision they came in.
 
 Pivots come from a bounded sample (at most MAX_PIVOTS in all), which decides only how work is cut, never
 what links.  A label without pivots is one cell, cut into chunks like any other.
 
+Other columns than the three are not read, whatever their names.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing and stay (kept); vectors of different length do not link; rows that
 share a vec_id are one vertex of the graph and each counts as a link of others; a null vec_id takes no part and is
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.common import lean, small, written
@@ -38,10 +42,24 @@ THRESHOLD = 0.98
 CELL_ROWS = 4096
 MAX_PIVOTS = 4096
 SAMPLE_PER_PIVOT = 8
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 8192
 SEED = 11
-#: Distances and cosines closer than this to a bound are computed again or count as not decided.
-SLACK = 1e-9
+#: Distances this close to a bound are not decided by it.  A distance is sqrt(2 - 2 cosine), so where it is small, rounding of
+#: n products moves it by up to sqrt(8 (n + 4) / 2**53): less than this below 100,000 dimensions.
+SLACK = 1e-5
+#: Rings are made of bins of this width.
+BIN = 1 / 128
+
+
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, exactly, so that no square overflows or vanishes."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1))[1][:, None])
+
+
+def units(matrix: np.ndarray) -> np.ndarray:
+    """Rows that are not zero, at length 1."""
+    level = scaled(matrix)
+    return level / np.linalg.norm(level, axis=1, keepdims=True)
 
 
 def _pivots(rows: DataFrame, cell_rows: int, max_pivots: int) -> dict[int, dict[int, np.ndarray]]:
@@ -60,13 +78,16 @@ def _pivots(rows: DataFrame, cell_rows: int, max_pivots: int) -> dict[int, dict[
     for label in wanted:
         mine = sample.filter(pa.compute.equal(sample.column("label"), label))
         for _, matrix in by_length(mine.column("vector")):
-            units = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+            matrix = matrix[matrix.any(axis=1)]
+            if not len(matrix):
+                continue
+            points = units(matrix)
             # farthest first, so that pivots spread and a dense group gets one
-            chosen, far = [0], np.full(len(units), np.inf)
-            while len(chosen) < min(wanted[label], len(units)):
-                far = np.minimum(far, np.linalg.norm(units - units[chosen[-1]], axis=1))
+            chosen, far = [0], np.full(len(points), np.inf)
+            while len(chosen) < min(wanted[label], len(points)):
+                far = np.minimum(far, np.linalg.norm(points - points[chosen[-1]], axis=1))
                 chosen.append(int(far.argmax()))
-            out.setdefault(label, {})[matrix.shape[1]] = units[chosen]
+            out.setdefault(label, {})[matrix.shape[1]] = points[chosen]
     return out
 
 
@@ -78,8 +99,8 @@ def _assigner(pivots: dict[int, dict[int, np.ndarray]], radius: float):
             rid, label = batch.column("rid").to_numpy(), batch.column("label").to_numpy()
             source, cell, dist, home = [], [], [], []
             for rows, matrix in by_length(batch.column("vector")):
-                norm = np.linalg.norm(matrix, axis=1)
-                rows, units = rows[norm > 0], matrix[norm > 0] / norm[norm > 0][:, None]
+                some = matrix.any(axis=1)
+                rows, points = rows[some], units(matrix[some])
                 for one in np.unique(label[rows]):
                     mine = np.flatnonzero(label[rows] == one)
                     marks = pivots.get(int(one), {}).get(matrix.shape[1])
@@ -89,7 +110,7 @@ def _assigner(pivots: dict[int, dict[int, np.ndarray]], radius: float):
                         dist.append(np.full(len(mine), np.nan))
                         home.append(np.ones(len(mine), dtype=bool))
                         continue
-                    d = np.sqrt(np.maximum(2 - 2 * units[mine] @ marks.T, 0))
+                    d = np.sqrt(np.maximum(2 - 2 * points[mine] @ marks.T, 0))
                     own = d.argmin(axis=1)
                     member = d <= d.min(axis=1)[:, None] + 2 * radius + SLACK
                     at, to = np.nonzero(member)
@@ -109,11 +130,11 @@ def _assigner(pivots: dict[int, dict[int, np.ndarray]], radius: float):
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Which cosines reach the threshold; those too near it for the product's rounding are summed exactly."""
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    cosine = unit(left) @ unit(right).T
+    cosine = units(left) @ units(right).T
     out = cosine >= threshold
-    for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < 1e-13), strict=True):
-        a, b = left[i], right[j]
+    unsure = 8 * (left.shape[1] + 8) * 2.0**-53
+    for i, j in zip(*np.nonzero(np.abs(cosine - threshold) < unsure), strict=True):
+        a, b = scaled(left[i : i + 1])[0], scaled(right[j : j + 1])[0]
         out[i, j] = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= threshold
     return out
 
@@ -189,6 +210,25 @@ def _joiner(threshold: float, radius: float):
     return run
 
 
+def _bin(dist: Column) -> Column:
+    return F.coalesce(F.floor(dist / BIN), F.lit(-1)).cast("int")
+
+
+def _rings(members: DataFrame, chunk_rows: int) -> DataFrame:
+    """label, cell, bins (bin of distances -> first and last chunk of its home rows), rings (chunk, lo, hi: the distances in it).
+
+    Chunks take the cell's home rows in order of distance; a bin of more than a chunk's rows is several chunks."""
+    binned = members.where("home").groupBy("label", "cell", _bin(F.col("dist")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("label", "cell").orderBy("bin")  # no more bins than 2 / BIN
+    end = F.sum("n").over(order)
+    numbered = binned.withColumns({"first": F.floor((end - F.col("n")) / chunk_rows).cast("int"), "last": F.floor((end - 1) / chunk_rows).cast("int")})
+    bins = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("first", "last"))))
+    by_cell = numbered.groupBy("label", "cell").agg(bins.alias("bins"))
+    chunks = numbered.withColumn("chunk", F.explode(F.sequence("first", "last"))).groupBy("label", "cell", "chunk").agg((F.min("bin") * BIN).alias("lo"), ((F.max("bin") + 1) * BIN).alias("hi"))
+    rings = chunks.groupBy("label", "cell").agg(F.collect_list(F.struct("chunk", "lo", "hi")).alias("rings"))
+    return by_cell.join(rings, ["label", "cell"])
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """vec_id, label, n_links, component_id, kept of every vector (``vec_id, embedding, label``)."""
     spark = vectors.sparkSession
@@ -197,19 +237,23 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: in
     numbered = written(spark, vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").alias("vector"), F.monotonically_increasing_id().alias("rid")), "vectors")
     usable = numbered.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
     pivots = _pivots(usable, cell_rows, max_pivots)
-    schema = "rid long, vec_id long, label int, cell int, dist double, home boolean, vector array<double>"
-    members = written(spark, usable.withColumn("vector", F.col("vector").cast("array<double>")).mapInArrow(lean(_assigner(pivots, radius)), schema), "members")
+    kind = numbered.schema["vector"].dataType.simpleString()
+    schema = f"rid long, vec_id long, label int, cell int, dist double, home boolean, vector {kind}"
+    members = written(spark, usable.mapInArrow(lean(_assigner(pivots, radius)), schema), "members")
     core = F.col("dist") <= radius / 2 - SLACK
-    cells = members.groupBy("label", "cell").agg(
-        F.greatest(F.ceil(F.sum(F.col("home").cast("long")) / chunk_rows), F.lit(1)).cast("int").alias("chunks"),
-        F.coalesce(F.sum(core.cast("long")), F.lit(0)).alias("core_rows"),
-        F.min(F.when(core, F.col("vec_id"))).alias("core_id"),
-    )
-    placed = members.join(small(cells), ["label", "cell"])
-    deal = F.pmod(F.xxhash64(F.lit(SEED), "rid"), F.col("chunks")).cast("int")
+    cells = members.groupBy("label", "cell").agg(F.coalesce(F.sum(core.cast("long")), F.lit(0)).alias("core_rows"), F.min(F.when(core, F.col("vec_id"))).alias("core_id"))
+    cells = small(cells.join(_rings(members, chunk_rows), ["label", "cell"]), F.size("bins") + F.size("rings"))
+    placed = members.join(cells, ["label", "cell"])
     columns = ["label", "cell", "chunk", "kind", "rid", "vec_id", "dist", "vector"]
-    homes = placed.where("home").withColumns({"chunk": deal, "kind": F.lit(0)}).select(columns)
-    met = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(1)).select(columns)
+    own = F.element_at("bins", _bin(F.col("dist")))
+    deal = own["first"] + F.pmod(F.xxhash64(F.lit(SEED), "rid"), own["last"] - own["first"] + 1)
+    homes = placed.where("home").withColumns({"chunk": deal.cast("int"), "kind": F.lit(0)}).select(columns)
+    reach = F.lit(radius + SLACK)
+    near = lambda g: (g["lo"] <= F.col("dist") + reach) & (g["hi"] >= F.col("dist") - reach)
+    # rows around the pivot are counted, so they do not meet a chunk of nothing else
+    counted_only = lambda g: core & (g["hi"] <= radius / 2 - SLACK)
+    meets = F.filter("rings", lambda g: F.col("dist").isNull() | (near(g) & ~counted_only(g)))
+    met = placed.withColumn("chunk", F.explode(F.transform(meets, lambda g: g["chunk"]))).withColumn("kind", F.lit(1)).select(columns)
     rows = homes.unionByName(met).repartition("label", "cell", "chunk").sortWithinPartitions("label", "cell", "chunk", "kind", "dist")
     found = written(spark, rows.mapInArrow(lean(_joiner(threshold, radius)), "kind int, a long, b long"), "found")
     # Members around a pivot are one another's links, all of them.

@@ -11,8 +11,9 @@ a seeded order.  Scoring reads every whole text, in pieces of bounded size, so t
 is not copied whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not ambiguous; null lang
-rows are not learned from; with no labelled row at all, every text is ``und``; repeated rows are
-scored alike; other columns are not read.
+rows are not learned from; of rows that share an id (all null ids are one) one is learned from; with no labelled
+row at all, every text is ``und``; repeated rows are scored alike; other columns are not read, but for those that are
+carried, whose names may clash with none but the three that are added, which replace them.
 """
 
 from __future__ import annotations
@@ -88,7 +89,9 @@ class Model:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = FEATURE_BITS) -> Model | None:
     """Learn from text and lang of rows that are not held out; None if there are none."""
     keep = lambda df: df.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in keep(docs.select("doc_id", "lang")).groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_rows).collect()}
+    # ids, not rows: a few may have most rows
+    sizes = keep(docs.select("doc_id", "lang")).groupBy("lang").agg((F.approx_count_distinct("doc_id") + 1).alias("n"))
+    counts = {r.lang: r.n for r in sizes.orderBy(F.col("n").desc(), "lang").limit(sample_rows).collect()}
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))
@@ -99,8 +102,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = FEATURE_BIT
     first = Window.partitionBy("lang").orderBy("__key", F.col("doc_id").asc_nulls_last())
     drawn = F.pmod(F.col("__key"), F.lit(1 << 30)) < F.col("__share") * (1 << 30)
     near = keep(docs.select("doc_id", "lang")).withColumn("__key", key).join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(drawn)
-    ids = near.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= each).select(F.col("doc_id").alias("__id")).distinct()
-    rows = keep(docs.select("doc_id", "lang", "text")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "lang")
+    # An id that very many rows share, the null one among them, is one id here and one row below.
+    ids = near.select("doc_id", "lang", "__key").distinct().withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= each).select(F.col("doc_id").alias("__id")).distinct()
+    rows = keep(docs.select("doc_id", "lang", "text")).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")))
+    one = F.min(F.struct(F.xxhash64("text", "lang").alias("h"), "text", "lang")).alias("r")
+    rows = rows.groupBy("doc_id").agg(one).select("r.text", "r.lang")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

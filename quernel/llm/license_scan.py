@@ -1,12 +1,20 @@
 """License scans by canonical digest lookup, in DataFrame functions only.
 
-A text is normalised (case, copyright lines, typographic signs, equivalent spellings, punctuation and
-white space), hashed with SHA-256 and hash-joined to the digests of known licence texts, which pass
-through the same expression.  Digests of a given list of texts are broadcast up to BROADCAST_ROWS; beyond, and for a
-caller's own table, Spark chooses the join by size.
+A text is normalised (case, copyright lines, typographic signs, punctuation, white space and, after those,
+equivalent spellings, so that they are found across a line break), hashed with SHA-256 and hash-joined to the digests of
+known licence texts.  Those of short licences are computed by the same expression from their texts, with and without their
+titles; those of long ones are listed.  Digests of a given list of texts are broadcast up to BROADCAST_ROWS; beyond, and for
+a caller's own table, Spark chooses the join by size.
+
+A copyright line begins, perhaps behind a comment sign, with the word or the sign, and goes; not if the word begins one of
+a licence's own phrases (LICENSE_PHRASES), as in "copyright notice".
+
+Known: the licences of LICENSES and DIGESTS, whole; a text with more than the licence (two licences in a row, a file
+header) is none.  Letters are folded from A to Z only; other scripts have no licences here.
 
 Defined cases: null text gives a null digest and no licence; an empty text, or one of copyright lines
-and punctuation only, has the digest of the empty string and no licence; repeated rows are kept.
+and punctuation only, has the digest of the empty string and no licence; repeated rows are kept; only the columns that are
+added may clash with those of the table, and replace them.
 """
 
 from __future__ import annotations
@@ -54,13 +62,57 @@ Unless required by applicable law or agreed to in writing, software distributed
     "MIT-notice": """Released under the MIT License.""",
 }
 
-# Spellings that licence matching guidelines count as equal.
+# Titles that stand above those texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+
+# Digests, as digest() gives them, of long licences as their stewards publish them: the whole text; its terms up to
+# and with the line that ends them; and without that line.
+DIGESTS = {
+    "Apache-2.0": "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
+    "Apache-2.0 terms": "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
+    "Apache-2.0 sections": "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-1.0 terms": "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+    "GPL-1.0 sections": "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-2.0 terms": "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+    "GPL-2.0 sections": "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "GPL-3.0 terms": "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+    "GPL-3.0 sections": "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.0 terms": "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+    "LGPL-2.0 sections": "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-2.1 terms": "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+    "LGPL-2.1 sections": "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    "MPL-2.0": "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "Artistic": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+}
+
+# What follows "copyright" in licences' own sentences.
+LICENSE_PHRASES = "and,as,control,disclaimer,doctrine,except,for,from,grant,holder,if,in,infringement,interest,is,law,licence,license,management,may,notice,of,on,or,owner,permission,protection,resulting,rights,shall,statement,status,that,the,to,treaty,under,when,which,with,work,years".split(",")
+
+# Spellings that licence matching guidelines count as equal, once punctuation is white space.
 EQUIVALENT = {
     "licence": "license",
-    "sub-license": "sublicense",
     "sub license": "sublicense",
-    "non-commercial": "noncommercial",
-    "non-infringement": "noninfringement",
+    "non commercial": "noncommercial",
+    "non infringement": "noninfringement",
     "acknowledgement": "acknowledgment",
     "favour": "favor",
     "fulfilment": "fulfillment",
@@ -69,7 +121,7 @@ EQUIVALENT = {
     "per cent": "percent",
     "copyright owner": "copyright holder",
     "wilful": "willful",
-    "https://": "http://",
+    "https ": "http ",
 }
 
 #: Known texts up to which their digests are broadcast: at 100 bytes each, 10 MB.
@@ -78,31 +130,45 @@ BROADCAST_ROWS = 100_000
 # Typographic signs and what they become.
 SIGNS_FROM, SIGNS_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’“”‐‑‒–— ", "abcdefghijklmnopqrstuvwxyz''\"\"----- "
 
-#: A line that states a copyright: the word or the sign comes first, perhaps behind a comment sign, then a sign,
-#: a year or "by"; a line of a licence's own words may begin with "copyright notice" or "copyright holders".
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t:]*(\(c\)|\x{a9}|[0-9]|by )|\(c\)|\x{a9}|all rights reserved)[^\n]*"
+#: Where one of a licence's own phrases begins.  It is joined by a sign, so that its line is none of a copyright; the sign goes
+#: with the punctuation.
+PHRASE = r"copyright[ \t]+(" + "|".join(LICENSE_PHRASES) + ")"
+#: Of a line that begins with "(c)", a year, or the line's end after a few words, tells a copyright from the third point of a list.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*((copyright([ \t:(]|\x{a9})|\x{a9}|all rights reserved|\(c\)[ \t]*[0-9])[^\n]*|\(c\)[ \t]*([^ \t\r\n]+[ \t]+){0,3}[^ \t\r\n]*[^ \t\r\n.,:;][ \t\r]*$)"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def normalised(text: Column) -> Column:
     """The canonical form that the digest covers."""
     out = F.translate(text, SIGNS_FROM, SIGNS_TO)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, PHRASE, "copyright_$1")
+    out = F.regexp_replace(out, "(?d)" + COPYRIGHT_LINE, "")  # lines end with \\n only
+    out = F.trim(F.regexp_replace(out, PUNCTUATION, " "))
     for spelling, canonical in EQUIVALENT.items():
         out = F.replace(out, F.lit(spelling), F.lit(canonical))
-    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    return out
 
 
 def digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, licenses: dict[str, str] = LICENSES) -> DataFrame:
+def titled(licenses: dict[str, str] = LICENSES, titles: dict[str, tuple[str, ...]] = TITLES) -> list[tuple[str, str]]:
+    """(license_id, text) of each text as it is and behind each of its titles."""
+    return [(k, head + v) for k, v in licenses.items() for head in ("", *(f"{t}\n\n" for t in titles.get(k, ())))]
+
+
+def known_digests(spark: SparkSession, licenses: dict[str, str] = LICENSES, titles: dict[str, tuple[str, ...]] = TITLES, digests: dict[str, str] = DIGESTS) -> DataFrame:
     """digest, license_id of the known texts; of several with one digest, the first id."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in licenses.items()])
+    given = titled(licenses, titles)
+    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in given])
     texts = spark.range(1).select(F.explode(rows).alias("l")).select("l.*")
-    known = texts.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    return F.broadcast(known) if len(licenses) <= BROADCAST_ROWS else known
+    known = texts.select(digest(F.col("text")).alias("digest"), "license_id")
+    if digests:
+        listed = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(k.partition(" ")[0]).alias("license_id")) for k, d in digests.items()])
+        known = known.unionByName(spark.range(1).select(F.explode(listed).alias("l")).select("l.*"))
+    known = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(known) if len(given) + len(digests) <= BROADCAST_ROWS else known
 
 
 def license_scan(docs: DataFrame, known: DataFrame, text: str = "text", out: tuple[str, str] = ("license_digest", "license_id")) -> DataFrame:
@@ -123,19 +189,51 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def oracle() -> str:
-    """The same in DuckDB's SQL."""
+def _form(text: str) -> str:
+    """digest() in DuckDB's SQL."""
+    out = f"translate({text}, {_quoted(SIGNS_FROM)}, {_quoted(SIGNS_TO)})"
+    out = f"regexp_replace({out}, {_quoted(PHRASE)}, {_quoted('copyright_' + chr(92) + '1')}, 'g')"
+    out = f"regexp_replace({out}, {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    out = f"trim(regexp_replace({out}, {_quoted(PUNCTUATION)}, ' ', 'g'), ' ')"
+    for spelling, canonical in EQUIVALENT.items():
+        out = f"replace({out}, {_quoted(spelling)}, {_quoted(canonical)})"
+    return f"sha256({out})"
 
-    def form(text: str) -> str:
-        out = f"translate({text}, {_quoted(SIGNS_FROM)}, {_quoted(SIGNS_TO)})"
-        out = f"regexp_replace({out}, {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
-        for spelling, canonical in EQUIVALENT.items():
-            out = f"replace({out}, {_quoted(spelling)}, {_quoted(canonical)})"
-        return f"sha256(trim(regexp_replace({out}, {_quoted(PUNCTUATION)}, ' ', 'g'), ' '))"
 
-    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in LICENSES.items())
+def oracle() -> str:
+    """The same in DuckDB's SQL."""
+    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in titled())
+    listed = "".join(f" UNION ALL SELECT {_quoted(d)}, {_quoted(k.partition(' ')[0])}" for k, d in DIGESTS.items())
     return (
-        f"WITH known AS (SELECT {form('t')} AS digest, min(id) AS license_id FROM (VALUES {values}) AS v(id, t) GROUP BY 1), "
-        f"marked AS (SELECT doc_id, {form('text')} AS license_digest FROM documents) "
+        f"WITH texts AS (SELECT {_form('t')} AS digest, id FROM (VALUES {values}) AS v(id, t){listed}), "
+        "known AS (SELECT digest, min(id) AS license_id FROM texts GROUP BY 1), "
+        f"marked AS (SELECT doc_id, {_form('text')} AS license_digest FROM documents) "
         "SELECT doc_id, license_digest, license_id, license_id IS NOT NULL AS is_license FROM marked LEFT JOIN known ON license_digest = digest"
     )
+
+
+#: What a licence text may look like in a repository: a change that the scan sees through, or one that it must not.
+VARIANTS = {
+    "plain": lambda t: t,
+    "copyright lines": lambda t: f"Copyright (c) 2020 Jane Doe\nCopyright Foo Inc. and contributors\n\n{t}\n\nAll rights reserved.",
+    "capitals": lambda t: t.upper(),
+    "one word a line": lambda t: t.replace(" ", "\n"),
+    "signs": lambda t: t.replace('"', "\u201c").replace("'", "\u2019").replace("license", "licence"),
+    "comment": lambda t: "/* " + t.replace("\n", "\n * ") + " */",
+    "more words": lambda t: t + "\nAnd more.",
+    "fewer words": lambda t: t.rpartition(" ")[0],
+}
+
+
+def variants(spark: SparkSession) -> DataFrame:
+    """name, license_id of each variant of each known text, through the scan."""
+    rows = [(f"{n} {license} {i}", change(text)) for i, (license, text) in enumerate(titled()) for n, change in VARIANTS.items()]
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in rows])
+    texts = spark.range(1).select(F.explode(cells).alias("c")).select("c.*")
+    return license_scan(texts, known_digests(spark)).select("name", "license_id")
+
+
+def variants_oracle() -> str:
+    """What must come out, stated and not computed."""
+    rows = ", ".join(f"({_quoted(f'{n} {license} {i}')}, {'NULL' if 'words' in n else _quoted(license)})" for i, (license, _) in enumerate(titled()) for n in VARIANTS)
+    return f"SELECT name, license_id FROM (VALUES {rows}) AS v(name, license_id)"

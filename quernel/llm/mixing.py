@@ -2,13 +2,13 @@
 
 Every source is a set of shards (documents by hash), every shard a stream of words in seeded
 document order, cut into blocks of equal word counts.  The mix holds a whole number of blocks.
-They go to sources, and within a source to its shards, by highest quotients
-``weight / (2 * seats + 1)``; a shard with quota q and n blocks takes each block q div n times and
-a seeded selection of q mod n blocks once more.
+They go to sources, within a source to groups of GROUP_SHARDS shards and within a group to its shards, by highest
+quotients ``weight / (2 * seats + 1)``.  A shard's quota of words is taken in whole passes over the shard as long as they
+fit, and a seeded selection of its blocks makes up the rest.
 
 Everything is DataFrame code; the words a document gives follow from two prefix counts, so no
-block is ever a row.  Only (source, shard) totals pass through one task, sources through a single
-sorted one (a row for each distinct source).
+block is ever a row.  Texts are counted once, into a written table of numbers.  A task apportions one group of shards, or one
+source's groups; sources pass through a single sorted task (a row for each distinct source).
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; null
 or repeated doc_ids are separate rows; an empty table gives an empty result; columns that clash with
@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import WORD, small, word_count
+from quernel.llm.common import WORD, small, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 19
+GROUP_SHARDS = 4096
 SEED = 20_240_229
 
 
@@ -115,45 +116,58 @@ def plan(
     max_repeats: int = MAX_REPEATS,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    group_shards: int = GROUP_SHARDS,
     seed: int = SEED,
     carry: bool = False,
 ) -> DataFrame:
     """docs (``doc_id, text, source``; with carry all their columns) and ``__size, __source_size, __target,
     __passes, __extra, __blocks, __start, __at`` (words before it in its shard) and ``__taken``."""
-    kept = [F.col(c) for c in docs.columns] if carry else [F.col("doc_id")]
-    rows = docs.select(
-        *kept,
-        F.col("source").alias("__source"),
-        word_count(F.col("text")).alias("__size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("__order"),
-    )
-    sources = docs.select(F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"))
-    sizes = sources.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("__order")
+    measured = [F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), order]
+    counted = written(docs.sparkSession, docs.select("doc_id", *measured), "sizes")
+    rows = docs.select(*docs.columns, *measured) if carry else counted
+    sizes = counted.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
     total = Window.partitionBy(F.lit(0))
     targets = source_targets(sizes, weights, max_repeats).withColumn("__house", F.round(F.sum("__source_size").over(total) / block_words).cast("long"))
     seats = apportion(targets, [], "__target", "__house", "__quota")
     shard_count = F.greatest(F.ceil(F.col("__source_size") / shard_words), F.lit(1)).cast("long")
     spread = seats.select(F.col("__source").alias("__s"), "__source_size", "__target", "__quota", shard_count.alias("__shards"))
-    placed = rows.join(small(spread), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    placed = placed.withColumn("__shard", F.pmod(F.col("__order"), F.col("__shards")))
-    shards = placed.groupBy("__source", "__shard", "__source_size", "__quota").agg(F.sum("__size").alias("__shard_size"))
-    quotas = apportion(shards.select("__source", "__shard", F.col("__shard_size"), "__quota"), ["__source"], "__shard_size", "__quota", "__given")
-    blocks = F.ceil(F.col("__shard_size") / block_words).cast("long")
+    spread = small(spread)
+
+    def in_shards(df: DataFrame) -> DataFrame:
+        found = df.join(spread, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+        return found.withColumn("__shard", F.pmod(F.col("__order"), F.col("__shards")))
+
+    placed = in_shards(rows)
+    group = F.floor(F.col("__shard") / group_shards).cast("long").alias("__group")
+    shards = in_shards(counted).groupBy("__source", "__shard", "__quota", group).agg(F.sum("__size").alias("__shard_size"))
+    shards = written(docs.sparkSession, shards, "shards")
+    groups = shards.groupBy("__source", "__group", "__quota").agg(F.sum("__shard_size").alias("__group_size"))
+    of_group = apportion(groups, ["__source"], "__group_size", "__quota", "__seats").select(F.col("__source").alias("__s"), F.col("__group").alias("__g"), "__seats")
+    here = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__group") == F.col("__g"))
+    seated = shards.join(of_group, here).select("__source", "__group", "__shard", "__shard_size", "__seats")
+    quotas = apportion(seated, ["__source", "__group"], "__shard_size", "__seats", "__given")
+    size = F.col("__shard_size")
     quotas = (
-        quotas.withColumn("__blocks", blocks)
-        .withColumn("__given", F.least(F.col("__given"), max_repeats * F.col("__blocks")))
+        quotas.where(size > 0)
+        .withColumn("__blocks", F.ceil(size / block_words).cast("long"))
+        .withColumn("__words", F.least(F.col("__given") * block_words, max_repeats * size))
+        .withColumn("__passes", F.floor(F.col("__words") / size).cast("long"))
+        # a last block that is not full counts for what it has
+        .withColumn("__extra", F.least(F.round((F.col("__words") - F.col("__passes") * size) / block_words), F.col("__blocks")).cast("long"))
         .select(
             F.col("__source").alias("__s"),
             F.col("__shard").alias("__h"),
             "__blocks",
-            F.when(F.col("__blocks") > 0, F.floor(F.col("__given") / F.col("__blocks"))).otherwise(0).cast("long").alias("__passes"),
-            F.when(F.col("__blocks") > 0, F.col("__given") % F.col("__blocks")).otherwise(0).cast("long").alias("__extra"),
-            F.when(F.col("__blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__source"), F.col("__shard")), F.col("__blocks"))).otherwise(0).cast("long").alias("__start"),
+            "__passes",
+            "__extra",
+            F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__source"), F.col("__shard")), F.col("__blocks")).alias("__start"),
         )
     )
     stream = Window.partitionBy("__source", "__shard").orderBy("__order", F.col("doc_id").asc_nulls_last())
     placed = placed.withColumn("__at", F.sum("__size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size"))
-    joined = placed.join(small(quotas), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h"))).drop("__s", "__h")
+    joined = placed.join(small(quotas), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h")), "left").drop("__s", "__h")
+    joined = joined.fillna(0, ["__blocks", "__passes", "__extra", "__start"])  # a shard without a word gives none
     extra = _words_before(F.col("__at") + F.col("__size"), block_words) - _words_before(F.col("__at"), block_words)
     return joined.withColumn("__taken", F.col("__passes") * F.col("__size") + extra)
 

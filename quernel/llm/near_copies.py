@@ -22,6 +22,7 @@ stand after all others of their group; an empty table gives an empty result; all
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import lean, written
+from quernel.llm.common import forget, lean, spread, written
 from quernel.llm.components import components, thinned
 from quernel.llm.simhash import bit_counts, golay, group_ids, linker, majority
 
@@ -126,13 +127,12 @@ def _vertices(seed: int):
 
 def _distinct(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, int]:
     """A row for each fingerprint with a number that no other has, and the seed of those numbers."""
-    one = written(spark, rows.groupBy(*_WORDS).agg(F.min("__id").alias("least"), F.min("soft").alias("soft")), "distinct")
-    count, seed = one.count(), 0
-    while True:
-        named = one.mapInArrow(lean(_vertices(seed)), f"vertex long, {_PRINT}, least long, soft binary")
-        if named.select("vertex").distinct().count() == count:
+    for seed in itertools.count():
+        one = rows.groupBy(*_WORDS).agg(F.min("__id").alias("least"), F.min("soft").alias("soft"))
+        named = written(spark, one.mapInArrow(lean(_vertices(seed)), f"vertex long, {_PRINT}, least long, soft binary"), "distinct")
+        if named.select("vertex").distinct().count() == named.count():
             return named, seed
-        seed += 1
+        forget(spark, named)  # two fingerprints of one number: about n * n / 2**65 of the time
 
 
 def similar_rows(docs: DataFrame, id_column: str, row: str, text: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -143,7 +143,7 @@ def similar_rows(docs: DataFrame, id_column: str, row: str, text: str = "text",
     rows = written(spark, prints, "prints")
     distinct, seed = _distinct(spark, rows)
     # each row becomes KEYS, so the rows are dealt out for what they become, not for what they are
-    keyed = distinct.select(*_WORDS, "soft").repartition(*_WORDS).mapInArrow(lean(_key_rows), f"key long, {_PRINT}").repartition("key").sortWithinPartitions("key", *_WORDS)
+    keyed = distinct.select(*_WORDS, "soft").repartition(spread(spark), *_WORDS).mapInArrow(lean(_key_rows), f"key long, {_PRINT}").repartition("key").sortWithinPartitions("key", *_WORDS)
     find = linker(max_bits, lambda p: vertex(p, seed))
     links = components(keyed.mapInArrow(lean(lambda batches: thinned(find(batches))), "a long, b long"), stars=True)
     groups = group_ids(spark, distinct.select("vertex", "least"), links)

@@ -12,11 +12,14 @@ than ``cut`` are first cut into equal parts, because more and smaller items leve
 Tokenising dominates.  Words are encoded once and remembered (a bounded cache in each worker): the tokenizer
 never joins anything across a space, so a text's ids are those of its space-separated words in a row.
 
-Sequence ids are ``partition * 2**40 + number``; they depend only on how the input is split, so a task
-that runs again gives the same rows.
+What a task has left when it ends is not a whole group.  Those pieces, numbers only, are dealt evenly to as
+many tasks as they make groups and packed there, so padding does not depend on how the input is split.
+
+Sequence ids are ``partition * 2**40 + number``, those of the second step with bit 62 set.  The first step's rows are a
+written table, so that what a task that runs again gives is not mixed with what it gave before.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives
-an empty result; columns other than the id and the text are not read.
+an empty result; columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quernel.llm.common import lean
+from quernel.llm.common import lean, written
 
 CAPACITY = 4096
 END_ID = 2
@@ -186,10 +189,12 @@ def pieces(sizes: list[int], capacity: int, cut: int) -> tuple[list[tuple[int, i
     return full, items
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cut: int = CUT, group_items: int = GROUP_ITEMS, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of a document (``doc_id, text``): where it starts in its document, its length, the
-    CRC-32 of its ids, its document's length, and its place in a sequence; with_ids also its ids."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
+#: Of the rows of pack(), what comes after the document's id.
+PLACES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _pieces_of(tokenizer: str, capacity: int, end_id: int, cut: int, group_items: int, with_ids: bool):
+    """doc_id, text -> pieces; those of the last group, unless they fill windows, without a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer.of(tokenizer)
@@ -199,14 +204,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         id_type = None
         waiting = 0
 
-        def emit() -> pa.RecordBatch:
+        def emit(whole: bool) -> pa.RecordBatch:
             nonlocal sequence, waiting
             full, items = pieces([len(ids) for _, ids in held], capacity, cut)
             rows = []
             for doc, start, length in full:
                 rows.append((doc, start, length, sequence, 0))
                 sequence += 1
-            for window in windows([n for _, _, n in items], capacity):
+            if not whole:
+                rows += [(*item, None, None) for item in items]
+            for window in windows([n for _, _, n in items], capacity) if whole else ():
                 at = 0
                 # in document order, and pieces of one document that meet again in theirs
                 for doc, start, length in sorted(items[i] for i in window):
@@ -221,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 pa.array([len(held[r[0]][1]) for r in rows], pa.int64()),
                 *[pa.array([r[i] for r in rows], pa.int64()) for i in (3, 4)],
             ]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            names = ["doc_id", *(p.split()[0] for p in PLACES.split(", "))]
             if with_ids:
                 columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
@@ -236,12 +243,52 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 held.append((doc_id, np.concatenate([ids, end])))
                 waiting += 1 + len(ids) // cut
                 if waiting >= group_items:
-                    yield emit()
+                    yield emit(True)
         if held:
-            yield emit()
+            yield emit(False)
         coder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
+    return run
+
+
+def _placed(capacity: int, group_items: int):
+    """Pieces without a sequence -> the same in sequences, groups of equal size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        found = pa.Table.from_batches(held)
+        sequence = 1 << 62 | TaskContext.get().partitionId() << 40
+        groups = -(-found.num_rows // group_items)
+        for number in range(groups):
+            lo, hi = (found.num_rows * i // groups for i in (number, number + 1))
+            part = found.slice(lo, hi - lo).combine_chunks()
+            sizes = part.column("length").to_pylist()
+            places, offsets = [0] * len(sizes), [0] * len(sizes)
+            for window in windows(sizes, capacity):
+                at = 0
+                for i in sorted(window):
+                    places[i], offsets[i] = sequence, at
+                    at += sizes[i]
+                sequence += bool(window)
+            for name, values in (("sequence_id", places), ("offset", offsets)):
+                part = part.set_column(part.column_names.index(name), name, pa.array(values, pa.int64()))
+            yield from part.to_batches()
+
+    return run
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cut: int = CUT, group_items: int = GROUP_ITEMS, with_ids: bool = False) -> DataFrame:
+    """A row for each piece of a document (``doc_id, text``): where it starts in its document, its length, the
+    CRC-32 of its ids, its document's length, and its place in a sequence; with_ids also its ids."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PLACES}" + (", ids array<int>" if with_ids else "")
+    found = docs.select("doc_id", "text").mapInArrow(lean(_pieces_of(tokenizer, capacity, end_id, cut, group_items, with_ids)), schema)
+    found = written(docs.sparkSession, found, "pieces")
+    left = found.where("sequence_id IS NULL")
+    # dealt round robin: from four to eight groups a task
+    dealt = left.repartition(max(1, left.count() // (4 * group_items)))
+    return found.where("sequence_id IS NOT NULL").unionByName(dealt.mapInArrow(lean(_placed(capacity, group_items)), schema))
 
 
 def op10_packing(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -4,15 +4,18 @@ A text is the multiset of its word n-grams (see ngrams.word_ngrams) in 2**FEATUR
 weighing its share of the text; the score is the logistic of a sparse dot product.
 
 Fitting reads a bounded sample of labelled rows (SAMPLE_ROWS, the first in a seeded order) and takes one
-executor task, which sees each row once an epoch.  Scoring reads every whole text, in pieces of bounded size.
+executor task, which sees each row once an epoch.  Scoring reads every whole text, in pieces of about 4 Mi characters
+that end with a word; no n-gram spans two pieces.
 
 Defined cases: a null or empty text has no n-gram and gets the score of the bias alone; ids whose labels
-contradict each other are not learned from; null labels or ids neither; without any label all scores
-are 0.5; repeated rows are scored alike; other columns are not read.
+contradict each other are not learned from; null labels or ids neither; of documents that share an id one is learned
+from; without any label all scores are 0.5; repeated rows are scored alike; other columns are not read, but for those that
+are carried, whose names may clash with none but the one that is added, which replaces it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +34,24 @@ CUT = 0.3
 SEED = 3
 SCALE = 20.0
 _PIECE = 1 << 22
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def _pieces(text: str, size: int = _PIECE) -> Iterator[str]:
+    """The text in pieces of at least ``size`` characters that end with a word; a word of more than twice that is cut."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            found = _SPACE.search(text, end, end + size)
+            end = found.start() if found else end + size
+        yield text[at:end]
+        at = end
 
 
 def features(text: str | None, bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Slots and their values."""
-    parts = []
-    for at in range(0, len(text or ""), _PIECE):
-        parts.append(word_ngrams(text[at : at + _PIECE].encode("utf-8", "replace"), bits))
+    parts = [word_ngrams(piece.encode("utf-8", "replace"), bits) for piece in _pieces(text or "")]
     slots = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
     return slots, np.full(len(slots), SCALE / max(len(slots), 1), dtype=np.float64)
 
@@ -82,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     each = known.groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).alias("label"), F.max(label).alias("__most")).where("label = __most").drop("__most")
     sample = each.orderBy(F.xxhash64(F.lit(SEED), "__id"), "__id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    # a bounded number of rows: one task
+    # one row for each id, however many share it; so the number of rows is bounded: one task
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")
+    rows = rows.groupBy("doc_id").agg(one).select("doc_id", "r.text", "r.label")
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", F.xxhash64("text"))
     found = ordered.mapInArrow(lean(_trainer(bits, epochs)), "weights binary").toArrow().column("weights").to_pylist()
     return np.frombuffer(found[0], dtype=np.float32) if found else np.zeros((1 << bits) + 1, dtype=np.float32)

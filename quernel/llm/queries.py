@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": lambda s, d: simhash.op8_simhash(table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.op9_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
+        "license_variants": lambda s, d: license_scan.variants(s),
     }
 
 
@@ -34,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_dedup": embedding_dedup.ORACLE,
         "op4_warc": warc.ORACLE,
         "op5_license_scan": license_scan.oracle(),
+        "op6_suffix_dedup": suffix_dedup.ORACLE,
+        "license_variants": license_scan.variants_oracle(),
     }

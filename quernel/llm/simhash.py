@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import lean, written
+from quernel.llm.common import lean, spread, written
 from quernel.llm.components import components, thinned
 
 SHINGLE_WORDS = 4
@@ -317,7 +317,7 @@ def print_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > 4:
         raise ValueError("the keys find at most 4 differing bits")
     # each row becomes about 50, so the rows are dealt out for what they become, not for what they are
-    distinct = prints.select("print").distinct().repartition("print")
+    distinct = prints.select("print").distinct().repartition(spread(prints.sparkSession), "print")
     keyed = distinct.mapInArrow(lean(_key_rows), "key long, print long").repartition("key").sortWithinPartitions("key", "print")
     find = linker(max_bits, _same)
     # in one Python worker: a second one beside it would double what a task needs

@@ -18,11 +18,15 @@ a tag of the text.  To let any two equal windows meet without one array over the
    passage) goes that way over the whole cluster, so no task holds a group that grows with the corpus.
 4. Repeated ranges meet their texts, which are cut.
 
-Equal segment contents are told by 128 bits of hashes.
+Equal segment contents and equal windows are told by 128 bits of hashes (a segment's by two of 64 bits, its minimiser's
+and its content's), not byte by byte; only what reaches a shard is compared by its bytes.  The README says how much
+each step decides.
 
 Defined cases: a null or empty text has no bytes; null ids come last in order; rows that repeat id and text are
 one document and get the same result each; rows that share an id only are told apart by a tag of the text, 64 bits
-of its hash; an empty table gives an empty result.
+of its hash; an empty table gives an empty result; of other columns only those that are carried are read, and those that the
+result adds replace columns of the same name.  A text is scanned in pieces, but is one cell of a row when it is cut, so
+the longest text must fit a worker's memory several times.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ SHARD_BYTES = 1 << 19
 HEAVY = 50_000
 #: Texts are scanned in pieces of about this many bytes; short ones together.
 PIECE = 1 << 19
+#: Equal contents of so many pieces in a row are passed on once.
+PIECES = 16
 SEED = 17
 _NULL_ID = (1 << 63) - 1
 _SIZE_BITS = 7
@@ -162,7 +168,8 @@ def _scan(window: int, k: int):
     """doc, text -> rows (route, content, doc, packed, tag): segments by minimiser, and with a negative packed
     value the ranges that repeat within a piece (content: the end)."""
 
-    def piece_rows(docs: list[tuple[int, int, int, int]], data: bytes) -> pa.RecordBatch | None:
+    def piece_rows(docs: list[tuple[int, int, int, int]], data: bytes) -> np.ndarray | None:
+        """(minimiser, content, doc, packed, tag) of the segments of a piece."""
         joined = np.frombuffer(data, dtype=np.uint8)
         ends = np.cumsum([size for _, _, _, size in docs])
         mini, content, begin, count = segments(joined, ends, window, k)
@@ -172,30 +179,35 @@ def _scan(window: int, k: int):
         doc = np.array([d for d, _, _, _ in docs], dtype=np.int64)[owner]
         tag = np.array([t for _, t, _, _ in docs], dtype=np.int64)[owner]
         start = begin - (ends - np.array([size for _, _, _, size in docs]))[owner] + np.array([at for _, _, at, _ in docs])[owner]
-        packed = _pack(start, count)
-        # of equal contents here only the first goes on; the same row again repeats nothing
-        key = mini * np.int64(0x2545F4914F6CDD1D) ^ content
-        order = np.lexsort((tag, packed, doc, key))
-        again = np.concatenate([[False], key[order][1:] == key[order][:-1]])
-        lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-        keep, rest = order[~again], order[again & ((doc[order] != doc[lead]) | (packed[order] != packed[lead]) | (tag[order] != tag[lead]))]
-        gone = merged_ranges(doc[rest], tag[rest], start[rest], (start + count + window - 1)[rest])
-        zero = np.zeros(len(gone[0]), dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([mini[keep], gone[0] * np.int64(0x2545F4914F6CDD1D) ^ gone[2]])),
-                pa.array(np.concatenate([content[keep], gone[3]])),
-                pa.array(np.concatenate([doc[keep], gone[0]])),
-                pa.array(np.concatenate([packed[keep], -1 - _pack(gone[2], zero)])),
-                pa.array(np.concatenate([tag[keep], gone[1]])),
-            ],
-            names=["route", "content", "doc", "packed", "tag"],
-        )
+        return np.column_stack([mini, content, doc, _pack(start, count), tag])
+
+    def collapsed(rows: np.ndarray) -> pa.RecordBatch:
+        """Of equal contents only the first goes on, the others are ranges; the same row again repeats nothing."""
+        rows = rows[np.lexsort(rows.T[::-1])]
+        again = np.concatenate([[False], (rows[1:, :2] == rows[:-1, :2]).all(axis=1)])
+        lead = rows[np.maximum.accumulate(np.where(again, 0, np.arange(len(rows))))]
+        rest = rows[again & (rows[:, 2:] != lead[:, 2:]).any(axis=1)]
+        start, count = _unpack(rest[:, 3])
+        doc, tag, start, end = merged_ranges(rest[:, 2], rest[:, 4], start, start + count + window - 1)
+        gone = np.column_stack([doc * np.int64(0x2545F4914F6CDD1D) ^ start, end, doc, -1 - _pack(start, np.zeros_like(start)), tag])
+        out = np.vstack([rows[~again], gone])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out.T], names=["route", "content", "doc", "packed", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int]] = []
         parts: list[bytes] = []
         size = 0
+        ready: list[np.ndarray] = []  # of the last few pieces: what they share is passed on once
+
+        def scanned() -> Iterator[pa.RecordBatch]:
+            nonlocal held, parts, size
+            if (rows := piece_rows(held, b"".join(parts))) is not None:
+                ready.append(rows)
+            held, parts, size = [], [], 0
+            if len(ready) >= PIECES:
+                yield collapsed(np.vstack(ready))
+                ready.clear()
+
         for batch in batches:
             ids = batch.column(0).fill_null(_NULL_ID).to_pylist()
             for doc, text in zip(ids, batch.column(1), strict=True):
@@ -213,11 +225,11 @@ def _scan(window: int, k: int):
                     parts.append(bytes(part))
                     size += len(part)
                     if size >= PIECE:
-                        if (out := piece_rows(held, b"".join(parts))) is not None:
-                            yield out
-                        held, parts, size = [], [], 0
-        if held and (out := piece_rows(held, b"".join(parts))) is not None:
-            yield out
+                        yield from scanned()
+        if held:
+            yield from scanned()
+        if ready:
+            yield collapsed(np.vstack(ready))
 
     return run
 
@@ -331,7 +343,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = memoryview(text.as_buffer()) if text.is_valid else b""
                 tags.append(tag_of(data))
                 packed.append(_deflated(data))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(tags, pa.int64()), pa.array(packed, pa.binary())], names=[*part.schema.names[:-1], "tag", "z"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(tags, pa.int64()), pa.array(packed, pa.binary())], names=[*part.schema.names[:-1], "__tag", "__z"])
 
 
 def _deflated(data: bytes | memoryview) -> bytes:
@@ -469,12 +481,13 @@ def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray, tag
 
 def repeated_by_window(parts: list[bytes], doc: np.ndarray, start: np.ndarray, tag: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """The same, window by window: for one key with more text than a shard takes."""
-    digests = [np.array([int.from_bytes(hashlib.blake2b(p[i : i + window], digest_size=8).digest(), "little") for i in range(len(p) - window + 1)], dtype=np.uint64) for p in parts]
+    digests = [np.frombuffer(b"".join([hashlib.blake2b(p[i : i + window], digest_size=16).digest() for i in range(len(p) - window + 1)]), dtype=np.int64).reshape(-1, 2) for p in parts]
     counts = np.array([len(d) for d in digests])
+    _, groups = np.unique(np.vstack(digests), axis=0, return_inverse=True)
     owner = np.repeat(np.arange(len(parts)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = start[owner] + offset
-    late = _later(np.concatenate(digests), doc[owner], at, tag[owner])
+    late = _later(groups.ravel(), doc[owner], at, tag[owner])
     return merged_ranges(doc[owner][late], tag[owner][late], at[late], at[late] + window)
 
 
@@ -552,7 +565,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, slot: int
     scanned = rows.mapInArrow(lean(_scan(window, k)), "route long, content long, doc long, packed long, tag long")
     sorted_rows = scanned.repartition("route").sortWithinPartitions("route", "content", "doc", "packed", "tag")
     found = written(spark, sorted_rows.mapInArrow(lean(_first_of_equal(window, heavy)), "kind int, doc long, packed long, tag long, length long, route long"), "segments")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text").mapInArrow(lean(_texts), "doc long, tag long, z binary")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text").mapInArrow(lean(_texts), "doc long, `__tag` long, `__z` binary").toDF("doc", "tag", "z")
 
     def placed(kind: int) -> DataFrame:
         """Texts with the segments of a kind that lie in them."""
@@ -573,7 +586,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, slot: int
     return out.unionByName(written(spark, late.select("doc", "packed", "tag").mapInArrow(lean(_window_ranges(window)), RANGES), "heavy"))
 
 
-def _apply(names: list[str], want_text: bool):
+def _apply(names: list[str], added: list[str], want_text: bool):
     """..., z, ranges -> the digest columns, or the remaining text, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -594,26 +607,26 @@ def _apply(names: list[str], want_text: bool):
                     # a cut may fall inside a character, whose other bytes go with it
                     rows.append((kept.decode("utf-8", "ignore"), removed) if want_text else (len(data), removed, spans, hashlib.sha256(kept).hexdigest()))
                 kinds = [pa.string(), pa.int64()] if want_text else [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                added = ["kept_text", "n_removed"] if want_text else ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, *added])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, carry: list[str], want_text: bool = False, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str], want_text: bool = False, named: tuple[str, ...] | None = None, **options) -> DataFrame:
     """The columns of docs in carry, and what is left of each text: kept_text and n_removed, or n_bytes, n_removed, n_spans and
-    kept_sha256."""
+    kept_sha256, or as ``named``; these replace columns of the same name."""
+    added = list(named or (("kept_text", "n_removed") if want_text else ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    carry = [c for c in carry if c not in added]
     ranges = repeated_ranges(docs, **options)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    types = {c: docs.schema[c].dataType.simpleString() for c in carry}
-    declared = [f"`{c}` {t}" for c, t in types.items()]
-    texts = docs.select(*carry, key.alias("__doc"), "text").mapInArrow(lean(_texts), ", ".join([*declared, "`__doc` long", "tag long", "z binary"]))
-    gathered = ranges.groupBy(F.col("doc").alias("__d"), F.col("tag").alias("__t")).agg(F.collect_list(F.struct("packed", "length")).alias("s"))
-    joined = texts.join(gathered, (F.col("__doc") == F.col("__d")) & (F.col("tag") == F.col("__t")), "left")
-    rows = joined.select(*carry, "z", F.col("s.packed").alias("packed"), F.col("s.length").alias("length"))
-    added = ["kept_text string", "n_removed long"] if want_text else ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
-    return rows.mapInArrow(lean(_apply(carry, want_text)), ", ".join([*declared, *added]))
+    declared = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    texts = docs.select(*carry, key.alias("__doc"), "text").mapInArrow(lean(_texts), ", ".join([*declared, "`__doc` long", "`__tag` long", "`__z` binary"]))
+    gathered = ranges.groupBy(F.col("doc").alias("__d"), F.col("tag").alias("__t")).agg(F.collect_list(F.struct("packed", "length")).alias("__s"))
+    joined = texts.join(gathered, (F.col("__doc") == F.col("__d")) & (F.col("__tag") == F.col("__t")), "left")
+    rows = joined.select(*carry, "__z", F.col("__s.packed").alias("__packed"), F.col("__s.length").alias("__length"))
+    kinds = ["string", "long"] if want_text else ["long", "long", "long", "string"]
+    return rows.mapInArrow(lean(_apply(carry, added, want_text)), ", ".join([*declared, *(f"`{n}` {k}" for n, k in zip(added, kinds, strict=True))]))
 
 
 def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -621,10 +634,41 @@ def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, ["doc_id"])
 
 
+#: Texts as two hexadecimal digits a byte, in blocks from which every window is named by 128 bits of MD5; runs of late windows;
+#: what is left, digit by digit.
+ORACLE = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), blocks AS (
+  SELECT doc_id, n, j, substr(h, 2 * j + 1, 2 * (256 + 99)) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n - 99, 256)) AS j FROM docs WHERE n >= 100)
+), places AS (
+  SELECT doc_id, j, h, unnest(range(0, least(256, n - 99 - j))) AS i FROM blocks
+), named AS (
+  SELECT doc_id, j + i AS i, md5_number(substr(h, 2 * i + 1, 200)) AS w FROM places
+), windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM named
+), late AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM windows WHERE nth > 1
+), numbered AS (
+  SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM late
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run
+), before AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs
+), parts AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head
+  FROM before JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN parts USING (doc_id)
+"""
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut; a document of which nothing is left goes."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = remove_repeats(docs, others, want_text=True).where("kept_text <> ''").withColumn("text", F.col("kept_text"))
+    out = remove_repeats(docs, others, want_text=True, named=("__kept", "__removed")).where("__kept <> ''").withColumn("text", F.col("__kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

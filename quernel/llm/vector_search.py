@@ -7,12 +7,14 @@ the kth score found is above every bound left.  Queries are dealt to every group
 blocks, so a task holds one group and one block, whatever the table's size.
 
 Scores are integer: a component x becomes floor(scale * x).  Products are exact: float64 while no
-sum can pass 2**53, Python integers beyond.
-
-Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without
-an id, take no part; vectors of different length are not compared; rows that share the query's id are
-its own; an id that repeats counts once for a query, with its best score; an empty table gives an
-empty result.
+sum can pass 2**53, Python integers beyond.  The bounds need no more than single precision, with the
+rounding that it may cause added to them, so they cost half of what exact scores of all rows would.
+
+Defined cases: vectors that are null, empty or hold null or non-finite components (also once they are scaled), and rows
+without an id, take no part; vectors of different length are not compared; rows that share the query's id are
+its own; an id that repeats counts once for a query, with its best score; a score that a long cannot hold is the greatest
+or the least long, and ranks as such; an empty table gives an empty result; only the id and the vector are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -44,45 +46,56 @@ class ApproximationFile:
         order = np.argsort(ids, kind="stable")
         self.ids, self.exact = ids[order], exact[order]
         self.low = self.exact.min(axis=0)
-        self.width = np.maximum(np.ceil((self.exact.max(axis=0) - self.low + 1) / 2**bits), 1)
-        self.cells = np.floor((self.exact - self.low) / self.width).astype(np.uint8 if bits <= 8 else np.uint16)
         self.largest = float(np.abs(self.exact).max())
+        self.bounded = self.largest < 1e100  # beyond, sums of products may not be finite
+        if self.bounded:
+            self.width = np.maximum(np.ceil((self.exact.max(axis=0) - self.low + 1) / 2**bits), 1)
+            self.cells = np.floor((self.exact - self.low) / self.width).astype(np.uint8 if bits <= 8 else np.uint16)
+            self.most = self.cells.max(axis=0).astype(np.float64)
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all scores, from the cells only."""
+        if not self.bounded or np.abs(queries).max() >= 1e100:
+            none = np.full((len(queries), len(self.ids)), np.inf)
+            return -none, none
         half = (self.width - 1) / 2
-        middle = (queries * self.width) @ self.cells.T.astype(np.float64) + (queries @ (self.low + half))[:, None]
+        scaled = queries * self.width
+        greatest = (np.abs(scaled) @ self.most)[:, None]
+        kind, unit = (np.float32, 2.0**-23) if greatest.max(initial=0) < 1e30 else (np.float64, 2.0**-52)
+        middle = (scaled.astype(kind) @ self.cells.T.astype(kind)).astype(np.float64) + (queries @ (self.low + half))[:, None]
         reach = (np.abs(queries) @ half)[:, None]
-        slack = 1e-9 * (np.abs(middle) + reach) + 1e-6
+        # a sum of n rounded products of rounded factors is off by less than (n + 3) units of the sum of their sizes
+        slack = (queries.shape[1] + 3) * unit * greatest + 1e-9 * (np.abs(middle) + reach) + 1e-6
         return middle - reach - slack, middle + reach + slack
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         if self.largest * float(np.abs(query).max()) * len(query) < 2**53:
             return (self.exact[rows] @ query).astype(np.int64)
         whole = [int(x) for x in query]
-        return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in self.exact[rows]], dtype=np.int64)
+        return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), -(1 << 63)), (1 << 63) - 1) for row in self.exact[rows]], dtype=np.int64)
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of each query's best k ids here, each by its best row, ties to smaller ids."""
-        lower, upper = self.bounds(queries)
+        # a score that a long cannot hold ranks as the greatest or the least that it can
+        lower, upper = (np.clip(b, -(2.0**63), 2.0**63) for b in self.bounds(queries))
         firsts = np.flatnonzero(np.concatenate([[True], self.ids[1:] != self.ids[:-1]]))  # of each id's rows
         for q in range(len(ids)):
             own = self.ids == ids[q]
-            up = np.where(own, -np.inf, upper[q])
+            up = upper[q]
             others = len(firsts) - int(own[firsts].sum())
             if not others:
                 continue
             low = np.maximum.reduceat(np.where(own, -np.inf, lower[q]), firsts)
             kth = np.partition(low, -min(k, others))[-min(k, others)]
-            rows = np.flatnonzero(up >= kth)
+            rows = np.flatnonzero(~own & (up >= kth))
             rows = rows[np.argsort(-up[rows], kind="stable")]
             best = np.empty((0, 2), dtype=np.int64)  # score, id
             for at in range(0, len(rows), CHUNK):
-                if len(best) == k and best[-1, 0] > up[rows[at]]:
+                if len(best) == k and float(best[-1, 0]) > up[rows[at]]:
                     break  # no row left can reach the kth score
                 part = rows[at : at + CHUNK]
                 best = np.vstack([best, np.column_stack([self.scores(part, queries[q]), self.ids[part]])])
-                best = best[np.lexsort((best[:, 1], -best[:, 0]))]
+                best = best[np.lexsort((best[:, 1], ~best[:, 0]))]  # ~x falls as x rises, the least long included
                 best = best[np.sort(np.unique(best[:, 1], return_index=True)[1])][:k]  # an id's best row only
             yield int(ids[q]), best[:, 1], best[:, 0]
 
@@ -114,7 +127,12 @@ def _searcher(k: int, scale: float, bits: int):
                         close()
                     ids = part.column(2).to_numpy()
                     for rows, matrix in by_length(part.column(3)):
-                        exact = np.floor(matrix * scale)
+                        with np.errstate(over="ignore"):
+                            exact = np.floor(matrix * scale)
+                        if not (good := np.isfinite(exact).all(axis=1)).all():
+                            rows, matrix, exact = rows[good], matrix[good], exact[good]
+                            if not len(rows):
+                                continue
                         if not wanted:
                             held.setdefault(matrix.shape[1], []).append((ids[rows], exact))
                         elif matrix.shape[1] in files:

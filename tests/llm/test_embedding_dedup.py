@@ -46,6 +46,25 @@ def test_against_brute_force_in_cells_and_chunks(spark):
     assert collected(near_vectors(df, cell_rows=40, max_pivots=3, chunk_rows=1000)) == want
 
 
+def test_rows_around_a_pivot_are_not_sent_to_one_another(spark, tmp_path):
+    """A third of all rows near one vector: their chunks get rows from elsewhere only."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in ([1.0] + [0.0] * 5 + rng.normal(scale=0.005, size=6) if i % 3 == 0 else rng.normal(size=6))], 0) for i in range(360)]
+    assert collected(near_vectors(spark.createDataFrame(rows, SCHEMA), cell_rows=100, chunk_rows=10)) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, 5, 6, 7), (2, [1.0, 0.001], 0, 5, 6, 7), (3, [0.0, 1.0], 0, 5, 6, 7)]
+    df = spark.createDataFrame(rows, SCHEMA + ", rid int, cell int, component_id int")
+    assert collected(op2_embedding_dedup(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_double_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 1e-9], 0), (3, [0.0, 1e200], 0), (4, [0.0, 1e-200], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert collected(op2_embedding_dedup(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+
+
 def test_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 0), (2, v, 0), (3, v, None), (4, None, 0), (5, [], 0), (6, [0.0] * 3, 0), (7, [None, 1.0, 2.0], 0), (8, [float("nan")] * 3, 0), (9, [2.0, 4.0, 6.0], 0), (10, v, 1), (11, [1.0, 2.0], 0)]

@@ -46,3 +46,38 @@ def test_other_columns_are_kept(spark):
     out = language_id.language_id(docs, language_id.fit(docs))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "lang_score", "lang_ambiguous"]
     assert out.count() == docs.count()
+
+
+def test_an_id_that_very_many_rows_share_is_learned_from_once(spark, monkeypatch):
+    rows = documents(60)
+    hot = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('the hot text ', id % 7) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    same = spark.range(50_000).selectExpr("7L AS doc_id", "'der andere Text' AS text", "'de' AS lang", "'s' AS source", "1L AS n_chars")
+    docs = spark.createDataFrame(rows, DOCS).union(hot).union(same)
+    learned = []
+    whole = language_id.features
+    monkeypatch.setattr(language_id.np.linalg, "solve", lambda gram, y, solve=np.linalg.solve: learned.append(len(gram)) or solve(gram, y))
+    model = language_id.fit(docs)
+    assert whole is language_id.features and 40 < learned[0] <= 64 and model.languages == ["de", "en", "es", "fr"]
+
+
+def test_scores_are_what_the_model_says(spark):
+    """Every prediction again from the text alone: profile, margins, losses, the least."""
+    docs = spark.createDataFrame(documents(80), DOCS)
+    model = language_id.fit(docs)
+    for r in language_id.language_id(docs, model).collect():
+        profile = language_id.features(r.text)
+        if profile is None:
+            assert (r.lang_pred, r.lang_score) == ("und", 0.0)
+            continue
+        margins = [sum(float(a) * float(b) for a, b in zip(profile[profile > 0], w[profile > 0])) for w in model.weights.T]
+        losses = [sum(np.log1p(np.exp(-language_id.SHARPNESS * m * c)) for m, c in zip(margins, code)) for code in model.code]
+        assert r.lang_pred == model.languages[int(np.argmin(losses))]
+        assert abs(r.lang_score - 1 / sum(np.exp(min(losses) - x) for x in losses)) < 1e-9
+
+
+def test_pieces_of_a_very_long_text(monkeypatch):
+    text = "the rain in Spain stays mainly in the plain " * 50
+    whole = language_id.features(text)
+    monkeypatch.setattr(language_id, "_PIECE", 97)
+    # n-grams that cross a cut are counted in the piece before it, and short ones of its overlap twice
+    assert np.abs(language_id.features(text) - whole).max() < 0.02

@@ -1,8 +1,14 @@
 import hashlib
+import os
+import textwrap
 
 import duckdb
+import pytest
 
-from quernel.llm.license_scan import LICENSES, known_digests, license_scan, op5_license_scan, oracle
+from quernel.llm.license_scan import DIGESTS, LICENSES, VARIANTS, known_digests, license_scan, op5_license_scan, oracle, titled, variants, variants_oracle
+
+#: Where Debian keeps the whole texts.
+TEXTS = "/usr/share/common-licenses"
 
 SCHEMA = "doc_id long, text string"
 
@@ -60,3 +66,37 @@ def test_clashing_columns_and_empty_table(spark):
     assert out.columns == ["doc_id", "text", "digest", "__x", "license_digest", "license_id"]
     assert out.first().license_id == "MIT" and out.first().digest == "b"
     assert op5_license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_variant_of_every_known_text(spark):
+    want = {tuple(r) for r in duckdb.execute(variants_oracle()).fetchall()}
+    got = {tuple(r) for r in variants(spark).collect()}
+    assert got == want and len(got) == len(titled()) * len(VARIANTS)
+
+
+def test_lines_break_anywhere(spark):
+    texts = [(name, textwrap.fill(text, width, break_long_words=False)) for name, text in titled() for width in range(20, 120, 7)]
+    df = spark.createDataFrame(texts, "name string, text string")
+    assert license_scan(df, known_digests(spark)).where("NOT (license_id <=> name)").collect() == []
+
+
+def test_points_of_a_list_are_no_copyright_lines(spark):
+    texts = [("(c) You must keep all notices, and", 1), ("(c) Representations.", 1), ("(c) Jane Doe", 0), ("(c) 2020 Jane Doe and many others, all of them", 0), ("Copyright Foo", 0), ("copyright holders may", 1), ("copyright", 1), ("\u00a9 Foo", 0)]
+    df = spark.createDataFrame([(f"first words\n{t}\nlast words", n) for t, n in texts], "text string, stays int")
+    dropped = hashlib.sha256(b"first words last words").hexdigest()
+    assert [(r.stays == 1) for r in license_scan(df, known_digests(spark)).collect()] == [r.license_digest != dropped for r in license_scan(df, known_digests(spark)).collect()]
+
+
+def test_long_licences(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not os.path.isdir(TEXTS):
+        pytest.skip("the texts are not here")
+    rows = []
+    for name, file in files.items():
+        with open(f"{TEXTS}/{file}", encoding="utf-8") as handle:
+            whole = handle.read()
+        terms, mark, _ = whole.partition("END OF TERMS AND CONDITIONS")
+        rows += [(name, whole), *([(name, terms + mark), (name, terms)] if mark else []), (None, whole + " more")]
+    got = license_scan(spark.createDataFrame(rows, "name string, text string"), known_digests(spark)).collect()
+    assert [r.license_id for r in got] == [r.name for r in got]
+    assert {k.partition(" ")[0] for k in DIGESTS} >= set(files)

@@ -98,3 +98,36 @@ def test_empty_and_clashing(spark):
     assert sorted(tuple(r) for r in op7_mixing(nothing).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     extra = spark.createDataFrame([(1, "a b c", "s", 5, 6.0)], "doc_id long, text string, source string, size int, target double")
     assert tuple(op7_mixing(extra).first()) == (1, 3, 3, 3.0, op7_mixing(extra).first().taken)
+
+
+@pytest.mark.parametrize("size, source_words", [(40, [40]), (10, [3, 4, 3]), (100, [1] * 100), (333, [111, 222])])
+def test_small_sources_reach_their_targets(spark, size, source_words):
+    """A capped source gives all its words three times, though its last block is not full."""
+    rows = [(i, "w " * n, "en", "a", 0) for i, n in enumerate(source_words)] + [(1000 + i, "v " * 500, "en", "b", 0) for i in range(40)]
+    got = op7_mixing(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.target for r in got if r.doc_id < 1000} == {3.0 * size}
+    assert abs(sum(r.taken for r in got if r.doc_id < 1000) - 3 * size) <= 32
+    assert all(r.taken <= 3 * r["size"] for r in got)
+
+
+def test_groups_of_shards(spark):
+    """Many small shards in groups: every source near its target, every shard near its share."""
+    rows = documents(200)
+    df = spark.createDataFrame(rows, DOCS)
+    got = plan(df, block_words=4, shard_words=40, group_shards=5).collect()
+    assert len(got) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["__taken"] <= 3 * r["__size"]
+        taken[r["__source"]] += r["__taken"]
+        target[r["__source"]] = r["__target"]
+    shards = {(r["__source"], r["__shard"]) for r in got}
+    for source, words in taken.items():
+        count = sum(s == source for s, _ in shards)
+        assert abs(words - target[source]) <= 4 * (count + 4)
+
+
+def test_texts_are_counted_once(spark):
+    df = spark.createDataFrame(documents(30), DOCS)
+    text = op7_mixing(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in text.lower() and "regexpcount" not in text.lower()

@@ -110,3 +110,25 @@ def test_empty(spark):
     only = op10_packing(spark.createDataFrame([(1, None, "en", "s", 0)], DOCS)).first()
     assert (only.doc_id, only.start, only.length, only.doc_tokens, only.offset) == (1, 0, 1, 1, 0)
     assert only.ids_crc32 == zlib.crc32((2).to_bytes(4, "little"))
+
+
+def test_padding_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for parts in (1, 211):
+        rows = op10_packing(docs.repartition(parts)).collect()
+        used = sum(r.length for r in rows)
+        assert 4096 * len({r.sequence_id for r in rows}) <= 1.02 * used, parts
+    verify(rows, [tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_left_over_pieces_of_many_tasks(spark):
+    docs = documents(80)
+    df = spark.createDataFrame(docs, DOCS).repartition(9)
+    rows = pack(df, PATH, capacity=64, cut=16, group_items=20, with_ids=True).collect()
+    total, sequences = verify(rows, docs, 64)
+    assert total / (64 * len(sequences)) > 0.9 and all(len(r.ids) == r.length for r in rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 9)], "doc_id long, text string, start long, sequence_id string, ids int")
+    assert [r.length for r in op10_packing(df).collect()] == [len(REFERENCE.encode("a b", add_special_tokens=False).ids) + 1]

@@ -64,3 +64,41 @@ def test_updates_are_follow_the_regularised_leader():
         model.learn(np.array([1, 4]), value, 0)
     weights = model.weights(slice(None))
     assert weights[0] > 0.5 and weights[1] < -0.5 and weights[2] == weights[3] == 0
+
+
+def test_an_id_that_very_many_rows_share_is_learned_from_once(spark):
+    rows, labels = corpus(80)
+    hot = spark.range(100_000).selectExpr("3L AS doc_id", "concat('the hot text ', id % 5) AS text")
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
+    known = spark.createDataFrame(labels, LABELS)
+    one = docs.where("doc_id <> 3").union(spark.createDataFrame([(3, "the hot text 1")], "doc_id long, text string"))
+    many = quality.fit(docs.where("doc_id <> 3").union(hot), known)
+    # the same as with one of those rows, whichever it is
+    singles = [quality.fit(one.where("doc_id <> 3").union(hot.where(f"text = 'the hot text {i}'").limit(1)), known) for i in range(5)]
+    assert any(np.array_equal(many, w) for w in singles)
+
+
+def test_scores_are_what_the_weights_say(spark):
+    rows, labels = corpus(120)
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    weights = quality.fit(docs, spark.createDataFrame(labels, LABELS))
+    for r in quality.score_quality(docs, weights).collect():
+        slots = word_ngrams((r.text or "").encode(), quality.FEATURE_BITS).tolist()
+        margin = float(weights[-1]) + sum(float(weights[s]) for s in slots) * quality.SCALE / max(len(slots), 1)
+        assert abs(r.quality_score - 1 / (1 + np.exp(-margin))) < 1e-5
+
+
+def test_pieces_end_with_a_word():
+    text = "ab cde\tf" * 9 + "x" * 60
+    parts = list(quality._pieces(text, 10))
+    assert "".join(parts) == text
+    assert all(p[-1:].isspace() or n[:1].isspace() or len(p) == 20 for p, n in zip(parts, parts[1:]))
+
+
+def test_clashing_columns(spark):
+    rows, labels = corpus(40)
+    docs = spark.createDataFrame([(i, t, 0.5, "x", 1) for i, t, *_ in rows], "doc_id long, text string, quality_score double, label string, __id int")
+    known = spark.createDataFrame([(i, q, "y") for i, q, _ in labels], "doc_id long, quality int, label string")
+    out = quality.score_quality(docs, quality.fit(docs, known))
+    assert out.columns == ["doc_id", "text", "label", "__id", "quality_score"] and out.count() == 40

@@ -156,3 +156,21 @@ def test_texts_without_repeats(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].text == passage and got[2].text == "before  after" and 3 not in got
     assert got[2].n_chars == len(got[2].text)
+
+
+def test_clashing_columns(spark):
+    long = "".join(random.Random(3).choices("abcdefghij ", k=300))
+    rows = [(1, long, "t", 5, 6), (2, long, "t", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string, packed int, n_bytes int")
+    assert sorted((r.doc_id, r.n_removed) for r in op6_suffix_dedup(df).collect()) == [(1, 0), (2, 300)]
+    out = without_repeats(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [rows[0]]
+
+
+def test_texts_of_several_pieces(spark, monkeypatch):
+    """Repeats that lie across the places where a long text is cut to be scanned."""
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefghijklmnop ", k=1_300_000))
+    rows = [(1, long, "en", "s", 0), (2, long[524_200:524_400] + "".join(rng.choices("xyz", k=50)) + long[1_048_500:1_048_700], "en", "s", 0)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in op6_suffix_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (0, 0), 2: (400, 2)}

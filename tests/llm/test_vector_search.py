@@ -57,6 +57,24 @@ def test_empty_table_and_clashing_columns(spark):
     assert [tuple(r) for r in op1_top_k(named).collect()] == [(0, 1, 1, 256 * 128 + 128 * 128)]
 
 
+def test_scores_beyond_a_long(spark):
+    """They are the greatest or the least long; ties go to smaller ids, and the others keep their order."""
+    big = 3.0e38
+    vectors = {0: [big, 1.0], 9: [big, 0.0], 3: [big, 5.0], 5: [-big, 0.0], 2: [-big, 1.0], 4: [0.0, 1.0], 7: [0.0, 2.0], 8: [1e-30, 3.0]}
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], SCHEMA)
+    scaled = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors.items()}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    scores = {i: clip(sum(a * b for a, b in zip(v, scaled[0]))) for i, v in scaled.items() if i}
+    want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+    for k in (2, 5, 7):
+        found = top_k(df, df.where("vec_id = 0"), k=k).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in found] == want[:k]
+    doubles = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e306, 1.0]), (2, [1e200, 1.0]), (3, [-1e200, 1.0]), (50, [1e150, 0.0])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in op1_top_k(doubles).collect()}
+    # 256 times the first two is no number any more: they take no part
+    assert found == {(50, 1): (2, 2**63 - 1), (50, 2): (3, -(2**63))}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 40), st.sampled_from([1, 300, 10**9]), st.integers(1, 7))
 def test_bounds_hold_and_search_is_exact(seed, n, size, bits):

@@ -81,3 +81,9 @@ def test_empty_table(spark, tmp_path):
     assert op4_warc(empty).collect() == []
     assert write_archives(chunked(records(empty)), str(tmp_path)).collect() == []
     assert "first_id" in ORACLE
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "u", "x" * 200, "a", 5), (2, "u", "x" * 200, "b", 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, record_id int")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in op4_warc(df).collect()) == [(1, "response", None), (2, "revisit", 1)]
