@@ -39,10 +39,12 @@ from quernel.llm.components import Forest, components
 from quernel.llm.vectors import by_length
 
 THRESHOLD = 0.98
-CELL_ROWS = 4096
+CELL_ROWS = 16_384
 MAX_PIVOTS = 4096
 SAMPLE_PER_PIVOT = 8
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 16_384
+#: Cosines that are held at once.
+BLOCK = 1 << 21
 SEED = 11
 #: Distances this close to a bound are not decided by it.  A distance is sqrt(2 - 2 cosine), so where it is small, rounding of
 #: n products moves it by up to sqrt(8 (n + 4) / 2**53): less than this below 100,000 dimensions.
@@ -186,8 +188,9 @@ def _joiner(threshold: float, radius: float):
 
     def meet(chunk: dict, member: dict) -> None:
         order = np.argsort(member["dist"], kind="stable")
-        for at in range(0, len(order), 512):
-            sub = order[at : at + 512]
+        step = max(32, BLOCK // max(len(chunk["dist"]), 1))
+        for at in range(0, len(order), step):
+            sub = order[at : at + step]
             near = member["dist"][sub]
             lo, hi = near.min(), near.max()
             # |d(u, p) - d(v, p)| <= d(u, v); NaN (no pivot) rules nothing out
