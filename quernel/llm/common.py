@@ -58,6 +58,13 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver forget plans that nobody holds any more: Spark deletes the shuffle files of those that its collector
+    finds gone, and by itself the collector may not run for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lean(run):
     """An Arrow function that gives memory back when its task ends, since workers live on beside the JVM.  Whoever plans
     with one has this package sent to the executors."""

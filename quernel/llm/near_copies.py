@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def similar_rows(docs: DataFrame, id_column: str, row: str, text: str = "text",
     """__row, __id, component_id (the least id of the group; null if none has one), __group (a number of the group) and the
     fingerprint of every row."""
     spark = docs.sparkSession
-    prints = docs.select(F.col(id_column).cast("long").alias("__id"), F.col(row).alias("__row"), F.col(text).alias("__text")).mapInArrow(lean(_wide_prints(shingle_words)), f"__id long, __row long, {_PRINT}, soft binary")
+    prints = docs.select(F.col(id_column).cast("long").alias("__id"), F.col(row).alias("__row"), F.col(text).alias("__text")).mapInArrow(lean(_wide_prints(shingle_words)), f"__id long, __row struct<f:bigint,i:bigint>, {_PRINT}, soft binary")
     rows = written(spark, prints, "prints")
     distinct, seed = _distinct(spark, rows)
     # each row becomes KEYS, so the rows are dealt out for what they become, not for what they are
@@ -154,11 +155,21 @@ def similar_rows(docs: DataFrame, id_column: str, row: str, text: str = "text",
     return rows.drop("soft").join(by_print, same).select("__row", "__id", "component_id", "__group", *_WORDS)
 
 
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a column that names each row, the same whenever it is read: for a table of files its file and place there, so
+    that it need not be copied; for anything else, numbers in a written table."""
+    try:
+        if "_metadata" not in docs.columns:
+            return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(row))
+    except AnalysisException:
+        pass  # not a table of files
+    return written(docs.sparkSession, docs.withColumn(row, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "numbered")
+
+
 def kept_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """One document of each group: the first row of its least id."""
-    spark = docs.sparkSession
     row = f"__row_{uuid.uuid4().hex}"  # no column of the caller's
-    numbered = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = _numbered(docs, row)
     found = similar_rows(numbered, id_column, row, **options)
     # of rows that share the least id, the first
     least = found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__group").agg(F.min("__row").alias("__least"))

@@ -96,3 +96,15 @@ def test_clashing_columns(spark):
     out = kept_documents(spark.createDataFrame(rows, names))
     assert out.columns == [n.split()[0] for n in names.split(", ")]
     assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
+
+
+def test_files_are_not_copied(spark, tmp_path):
+    """Rows of a table of files are named by their place; the same documents stay."""
+    rows = [r for r in documents(60) if r[0] is not None]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = kept_documents(docs)
+    assert {f.rsplit("/", 2)[1] for f in out.inputFiles()} > {"docs"} and not any("numbered" in f for f in out.inputFiles())
+    kept = [tuple(r) for r in out.collect()]
+    other = [tuple(r) for r in kept_documents(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted({r[0] for r in kept}) == sorted({r[0] for r in other}) and len(kept) == len(other)
