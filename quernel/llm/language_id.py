@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import held_out, lean
+from quernel.llm.common import held_out, lean, trim
 from quernel.llm.ngrams import byte_ngrams
 
 SAMPLE_ROWS = 2400
@@ -41,6 +41,8 @@ MIXED_CHARS = 100
 SEED = 5
 _LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 22
+#: Rows of the products of all profiles that are worked out together.
+_BLOCK = 256
 
 
 def codewords(count: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -117,17 +119,27 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = FEATURE_BIT
     if not sample.num_rows:
         return None
     lang = sample.column("lang").to_pylist()
-    x = np.frombuffer(b"".join(sample.column("profile").to_pylist()), dtype=np.float32).reshape(-1, 1 << bits)
-    del sample  # the driver has little room
+    x = np.empty((sample.num_rows, 1 << bits), dtype=np.float32)
+    for i, profile in enumerate(sample.column("profile")):
+        x[i] = np.frombuffer(profile.as_buffer(), dtype=np.float32)
+    del sample, profile  # the driver has little room
+    trim()
     order = np.lexsort((x @ np.arange(1, x.shape[1] + 1, dtype=np.float32), np.array(lang)))  # the same fit however rows arrive
     x, lang = x[order], [lang[i] for i in order]
     languages = sorted(set(lang))
     code = codewords(len(languages))
-    y = code[[languages.index(v) for v in lang]]
-    gram = (x @ x.T).astype(np.float64)
+    weights = _ridge(x, code[[languages.index(v) for v in lang]])
+    trim()
+    return Model(languages, code, weights)
+
+
+def _ridge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the ridge regression of y on the rows of x, in its dual form."""
+    gram = np.empty((len(x), len(x)))
+    for at in range(0, len(x), _BLOCK):
+        gram[at : at + _BLOCK] = x[at : at + _BLOCK] @ x.T
     gram.flat[:: len(gram) + 1] += RIDGE
-    dual = np.linalg.solve(gram, y)
-    return Model(languages, code, (x.T @ dual.astype(np.float32)).astype(np.float64))
+    return (x.T @ np.linalg.solve(gram, y).astype(np.float32)).astype(np.float64)
 
 
 def language_id(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:

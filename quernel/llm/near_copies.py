@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.common import forget, lean, spread, written
+from quernel.llm.common import forget, lean, spread, tidy, written
 from quernel.llm.components import components, thinned
 from quernel.llm.simhash import bit_counts, golay, group_ids, linker, majority
 
@@ -143,10 +143,12 @@ def similar_rows(docs: DataFrame, id_column: str, row: str, text: str = "text",
     prints = docs.select(F.col(id_column).cast("long").alias("__id"), F.col(row).alias("__row"), F.col(text).alias("__text")).mapInArrow(lean(_wide_prints(shingle_words)), f"__id long, __row struct<f:bigint,i:bigint>, {_PRINT}, soft binary")
     rows = written(spark, prints, "prints")
     distinct, seed = _distinct(spark, rows)
+    tidy(spark)
     # each row becomes KEYS, so the rows are dealt out for what they become, not for what they are
     keyed = distinct.select(*_WORDS, "soft").repartition(spread(spark), *_WORDS).mapInArrow(lean(_key_rows), f"key long, {_PRINT}").repartition("key").sortWithinPartitions("key", *_WORDS)
     find = linker(max_bits, lambda p: vertex(p, seed))
     links = components(keyed.mapInArrow(lean(lambda batches: thinned(find(batches))), "a long, b long"), stars=True)
+    tidy(spark)
     groups = group_ids(spark, distinct.select("vertex", "least"), links)
     known = distinct.select("vertex", *[F.col(w).alias(f"__{w}") for w in _WORDS], "least")
     by_print = known.join(groups.withColumnRenamed("vertex", "__v"), F.col("vertex") == F.col("__v"), "left")

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from quernel.llm import language_id
@@ -81,3 +83,18 @@ def test_pieces_of_a_very_long_text(monkeypatch):
     monkeypatch.setattr(language_id, "_PIECE", 97)
     # n-grams that cross a cut are counted in the piece before it, and short ones of its overlap twice
     assert np.abs(language_id.features(text) - whole).max() < 0.02
+
+
+def test_a_full_sample_leaves_the_driver_room(spark):
+    """Of 2,400 profiles (39 MB) and their products (46 MB) the driver holds no second copy beside the two."""
+    rows = [(i, f"{text} {i}", lang, source, n) for i, text, lang, source, n in documents(4000) if text and lang]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4).cache()
+    docs.count()
+    tracemalloc.start()
+    try:
+        model = language_id.fit(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        docs.unpersist()
+    assert model.weights.shape == (4096, language_id.BITS) and most < 98e6

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from quernel.llm import common
 from quernel.llm.common import word_count
 from quernel.llm.mixing import plan
 from pyspark.sql import functions as F
@@ -78,3 +79,8 @@ def test_queries_are_registered():
     assert "pipeline" in names
     assert [n for k in range(1, 11) for n in names if re.match(rf"op{k}_", n)] == [n for n in names if n.startswith("op")]
     assert len([n for n in names if n.startswith("op")]) == 10
+
+
+def test_the_driver_gives_memory_back(spark):
+    """What the JVM holds beside its heap goes back too, where it has the command (Java 17.0.9 and later on Linux)."""
+    assert "Trim native heap" in common.tidy(spark)
