@@ -13,7 +13,7 @@ rounding that it may cause added to them, so they cost half of what exact scores
 Defined cases: vectors that are null, empty or hold null or non-finite components (also once they are scaled), and rows
 without an id, take no part; vectors of different length are not compared; rows that share the query's id are
 its own; an id that repeats counts once for a query, with its best score; a score that a long cannot hold is the greatest
-or the least long, and ranks as such; an empty table gives an empty result; only the id and the vector are read, so
+or the least long in the table returned, and ranks as such there (a file's own search has it exactly); an empty table gives an empty result; only the id and the vector are read, so
 other columns may have any name.
 """
 
@@ -37,6 +37,7 @@ GROUP_ROWS = 32_768
 LEAST_GROUP_ROWS = 1024
 QUERY_BLOCK = 64
 CHUNK = 64
+_LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
 
 
 class ApproximationFile:
@@ -68,16 +69,23 @@ class ApproximationFile:
         slack = (queries.shape[1] + 3) * unit * greatest + 1e-9 * (np.abs(middle) + reach) + 1e-6
         return middle - reach - slack, middle + reach + slack
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray, query: np.ndarray, as_long: bool = False) -> np.ndarray:
+        """Exact scores: longs, or Python's integers if one of them is beyond a long; as_long: those are the greatest or the
+        least long."""
         if self.largest * float(np.abs(query).max()) * len(query) < 2**53:
             return (self.exact[rows] @ query).astype(np.int64)
         whole = [int(x) for x in query]
-        return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), -(1 << 63)), (1 << 63) - 1) for row in self.exact[rows]], dtype=np.int64)
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of each query's best k ids here, each by its best row, ties to smaller ids."""
-        # a score that a long cannot hold ranks as the greatest or the least that it can
-        lower, upper = (np.clip(b, -(2.0**63), 2.0**63) for b in self.bounds(queries))
+        found = [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in self.exact[rows]]
+        if as_long:
+            found = [min(max(x, _LEAST), _GREATEST) for x in found]
+        return np.array(found, dtype=np.int64 if all(_LEAST <= x <= _GREATEST for x in found) else object)
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, as_long: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, scores) of each query's best k ids here, each by its best row, ties to smaller ids.  as_long: a score
+        that a long cannot hold ranks as the greatest or the least that it can."""
+        lower, upper = self.bounds(queries)
+        if as_long:
+            lower, upper = (np.clip(b, -(2.0**63), 2.0**63) for b in (lower, upper))
         firsts = np.flatnonzero(np.concatenate([[True], self.ids[1:] != self.ids[:-1]]))  # of each id's rows
         for q in range(len(ids)):
             own = self.ids == ids[q]
@@ -89,15 +97,24 @@ class ApproximationFile:
             kth = np.partition(low, -min(k, others))[-min(k, others)]
             rows = np.flatnonzero(~own & (up >= kth))
             rows = rows[np.argsort(-up[rows], kind="stable")]
-            best = np.empty((0, 2), dtype=np.int64)  # score, id
+            names, best = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
             for at in range(0, len(rows), CHUNK):
-                if len(best) == k and float(best[-1, 0]) > up[rows[at]]:
+                if len(best) == k and int(best[-1]) > up[rows[at]].item():  # Python compares the two exactly
                     break  # no row left can reach the kth score
                 part = rows[at : at + CHUNK]
-                best = np.vstack([best, np.column_stack([self.scores(part, queries[q]), self.ids[part]])])
-                best = best[np.lexsort((best[:, 1], ~best[:, 0]))]  # ~x falls as x rises, the least long included
-                best = best[np.sort(np.unique(best[:, 1], return_index=True)[1])][:k]  # an id's best row only
-            yield int(ids[q]), best[:, 1], best[:, 0]
+                names, best = np.concatenate([names, self.ids[part]]), np.concatenate([best, self.scores(part, queries[q], as_long)])
+                order = _ranked(names, best)
+                names, best = names[order], best[order]
+                first = np.sort(np.unique(names, return_index=True)[1])[:k]  # an id's best row only
+                names, best = names[first], best[first]
+            yield int(ids[q]), names, best
+
+
+def _ranked(names: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The order of falling scores, ties by rising names."""
+    if scores.dtype != object:
+        return np.lexsort((names, ~scores))  # ~x falls as x rises, the least long included
+    return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], names[i])), dtype=np.int64)
 
 
 def _searcher(k: int, scale: float, bits: int):
@@ -137,7 +154,7 @@ def _searcher(k: int, scale: float, bits: int):
                             held.setdefault(matrix.shape[1], []).append((ids[rows], exact))
                         elif matrix.shape[1] in files:
                             for at in range(0, len(rows), QUERY_BLOCK):
-                                out += files[matrix.shape[1]].search(ids[rows[at : at + QUERY_BLOCK]], exact[at : at + QUERY_BLOCK], k)
+                                out += files[matrix.shape[1]].search(ids[rows[at : at + QUERY_BLOCK]], exact[at : at + QUERY_BLOCK], k, as_long=True)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))],

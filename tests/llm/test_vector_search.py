@@ -89,3 +89,19 @@ def test_bounds_hold_and_search_is_exact(seed, n, size, bits):
     for (_, ids, scores), query in zip(file.search(np.full(3, -1), queries, 4), queries):
         want = sorted(((-sum(int(a) * int(b) for a, b in zip(row, query)), i) for i, row in enumerate(exact)))[:4]
         assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
+
+
+def test_a_file_gives_scores_beyond_a_long_exactly():
+    """The case that test_bounds_hold_and_search_is_exact found; and components whose products are no doubles."""
+    for size, extra in ((10**9, []), (2.0**62, []), (2.0**62, [[1e300, -1e300, 1.0, 0.0, 0.0]])):
+        rng = np.random.default_rng(1689)
+        exact = np.vstack([np.floor(rng.normal(size=(25, 5)) * size), *extra, *[[-x for x in e] for e in extra]])
+        queries = np.vstack([np.floor(rng.normal(size=(3, 5)) * size), *extra])
+        for k in (4, 30):
+            file = ApproximationFile(np.arange(len(exact)), exact, 1)
+            beyond = 0
+            for (_, ids, scores), query in zip(file.search(np.full(len(queries), -1), queries, k), queries, strict=True):
+                want = sorted(((-sum(int(a) * int(b) for a, b in zip(row, query)), i) for i, row in enumerate(exact)))[:k]
+                assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
+                beyond += sum(abs(s) >= 2**63 for s, _ in want)
+            assert beyond
