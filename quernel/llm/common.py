@@ -76,8 +76,8 @@ def trim() -> None:
 
 
 def _trim_jvm(spark: SparkSession) -> str:
-    """So does what the driver's JVM holds beside its heap: the C library keeps what compiling and sending have freed, about
-    180 MB after a hundred plans.  Nothing where the JVM has no such command."""
+    """So does what the driver's JVM holds beside its heap: the C library keeps much of what was freed (the README has a
+    measurement).  Nothing where the JVM has no such command."""
     jvm = spark._jvm
     try:
         values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)

@@ -82,5 +82,5 @@ def test_queries_are_registered():
 
 
 def test_the_driver_gives_memory_back(spark):
-    """What the JVM holds beside its heap goes back too, where it has the command (Java 17.0.9 and later on Linux)."""
+    """What the JVM holds beside its heap goes back too; the JVM here has the command."""
     assert "Trim native heap" in common.tidy(spark)
